@@ -1,21 +1,15 @@
-"""Shared pieces: the shared work folder, written tables, file systems, words.
+"""Shared pieces of the operators: words and file systems.
 
-Work that must outlive an executor (cut lineage, written archives) goes below
-``spark.checkpoint.dir``, which all executors share.  Only where that setting
-is absent (tests on one machine) a local folder is made.
+Tables and files that must outlive an executor go to the shared work folder
+(``twinweave.storage``).
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import remove, shared_base, work_dir, written  # noqa: F401
+
 #: Separators of the two word rules, as bytes; ASCII capitals become small.
 _SPACES = b" \t\n\x0b\x0c\r"
 _KEPT = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
@@ -25,9 +19,6 @@ SPACE_TABLE = bytes(32 if c in _SPACES else LOWER_ASCII[c] for c in range(256))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local_base: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
-
 
 def alnum_words(text: str) -> list[bytes]:
     """Words of ASCII digits, letters (made small) and all non-ASCII characters."""
@@ -46,48 +37,6 @@ def ascii_lower(col):
     return F.translate(col, _UPPER, _LOWER)
 
 
-def shared_base(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return re.sub(r"^file:/+", "file:///", base.rstrip("/"))
-    app = spark.sparkContext.applicationId
-    if app not in _local_base:
-        _local_base[app] = tempfile.mkdtemp(prefix="twinweave-")
-        atexit.register(shutil.rmtree, _local_base[app], True)
-    return "file://" + _local_base[app]
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; removed when the driver ends."""
-    path = f"{shared_base(spark)}/twinweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may already be gone
-            return
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: lineage is cut, and a
-    lost executor costs nothing that was computed before."""
-    spark = df.sparkSession
-    path = path or work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def file_system(uri: str):
     """(file system, path) for a URI of any store that pyarrow can reach."""
     from pyarrow import fs
@@ -100,10 +49,6 @@ def make_dirs(uri: str) -> None:
     store.create_dir(path, recursive=True)
 
 
-def parent(uri: str) -> str:
-    return os.path.dirname(uri)
-
-
 def number_of_parts(spark: SparkSession, df: DataFrame, column: str, mb: int = 24) -> int:
     """Parts of about ``mb`` MB each of the text or binary ``column``."""
     from pyspark.sql import functions as F
