@@ -2,7 +2,7 @@
 
 Archives are read through Spark's binary files (any store), one archive a row;
 their members are listed by an Arrow function, so no archive is unpacked to
-disk.  Directories are read as whole-text files.
+disk.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def typed(files: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All members of the archives that a path or pattern names; project_id is the
     archive's file name without ``.zip``."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     return from_archives(raw.select(F.regexp_extract("path", r"([^/]*)\.zip$", 1).alias("project_id"), "content"))
 
 
@@ -70,11 +70,35 @@ def from_archives(archives: DataFrame) -> DataFrame:
     return rows.select("project_id", "path", read_text(F.col("content")).alias("content"))
 
 
+def _read_files(batches):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for b in batches:
+        for path, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            store, place = fs.FileSystem.from_uri(uri)
+            with store.open_input_file(place) as f:
+                data = f.read() if f.size() <= MAX_MEMBER else None
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
+
+
 def read_directory(spark: SparkSession, path: str, project_id: str) -> DataFrame:
-    """All files below a directory, with paths relative to it."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/").removeprefix("file://")
-    return raw.select(F.lit(project_id).alias("project_id"), F.regexp_replace("path", "^(?:file:)?/*\\Q" + root + "\\E/", "").alias("path"), read_text(F.col("content")).alias("content"))
+    """All files below a directory, with paths relative to it.
+
+    Spark's own listing leaves out names that begin with a dot or an underscore,
+    which projects have (``_app.js``); so names are listed through the file
+    system, and executors read the files.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = found.makeQualified(root).toString().rstrip("/") + "/"
+    names, listing = [], found.listFiles(root, True)
+    while listing.hasNext():
+        uri = listing.next().getPath().toString()
+        names.append((uri.removeprefix(base), uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri))
+    listed = spark.createDataFrame(sorted(names), "path string, uri string").repartition(max(1, min(len(names) // 64, 256)))
+    rows = listed.mapInArrow(_read_files, "path string, content binary")
+    return rows.select(F.lit(project_id).alias("project_id"), "path", read_text(F.col("content")).alias("content"))
 
 
 def by_extension(files: DataFrame, extensions: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 def stream_files(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """Typed files of the archives in a folder, as a stream."""
-    raw = (spark.readStream.format("binaryFile").schema(_BINARY).option("pathGlobFilter", "*.zip")
+    raw = (spark.readStream.format("binaryFile").schema(_BINARY).option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
            .option("maxFilesPerTrigger", files_per_trigger).load(folder))
     return typed(from_archives(raw.select(F.regexp_extract("path", r"([^/]*)\.zip$", 1).alias("project_id"), "content")))
 
