@@ -25,7 +25,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, is_plain, split_pieces
+from .bpe import CACHE, byte_symbols, is_plain, split_pieces
 from .common import file_system, make_dirs, number_of_parts, work_dir, written
 
 BLOCK_IDS = 1 << 16
@@ -142,6 +142,10 @@ class Reader:
         return int(end - self.starts[doc])
 
 
+#: The printable stand-in of each byte, by its number.
+_SHOWN = dict(enumerate(byte_symbols()))
+
+
 class Encoder:
     """The library's ids of a text; pieces of plain texts are remembered.
 
@@ -172,10 +176,12 @@ class Encoder:
 class _Ids(dict):
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        data = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        # the library's model takes a piece byte by byte in printable form
+        shown = piece.encode("utf-8").decode("latin-1").translate(_SHOWN)
+        data = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(piece) < 64:
             self[piece] = data
         return data
