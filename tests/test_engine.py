@@ -199,3 +199,37 @@ def test_query(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_sql_functions(spark):
+    from twinweave.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT ratio('ab', 'ab') AS r").first().r == 1.0
+    assert [r.prop for r in spark.sql("SELECT prop FROM css_decls('.a{b:c;d:e}') ORDER BY ord").collect()] == ["b", "d"]
+    assert spark.sql("SELECT count(*) AS n FROM html_nodes('<p>x</p>')").first().n == 3
+    assert spark.sql("SELECT avg(e.score) AS s FROM (SELECT explode(tree_compare(parse_html('<p>a</p>'), parse_html('<p>a</p>'))) AS e)").first().s == 1.0
+
+
+def test_jsx_and_config_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from twinweave.functions import jsx
+    from twinweave.operators import css as css_operators
+
+    df = spark.createDataFrame([(1, '{"compilerOptions":{"a":1,"b":2,"paths":{"x":[]},"baseUrl":"."},"include":["s"],"extends":"k"}', '{"compilerOptions":{"a":1,"c":3,"paths":{"x":[],"y":[]},"baseUrl":"."},"exclude":["s"]}')], "id int, l string, r string")
+    maps = df.select("id", jsonconfig.object_map(F.col("l")).alias("l"), jsonconfig.object_map(F.col("r")).alias("r"))
+    assert jsonconfig.paths_extends_table(maps, "id", "l", "r").first().paths_similarity == pytest.approx((0.5 + 1 + 0) / 3)
+    one = maps.select(
+        jsonconfig.include_exclude_similarity(F.col("l"), F.col("r")), jsonconfig.compiler_options_similarity(*(F.create_map(F.lit("a"), F.lit("1"), F.lit(k), F.lit("2")) for k in "bc")),
+        jsx.html_attribute(F.lit("className")), jsx.html_attribute(F.lit("onClick")), jsx.kebab(F.lit("backgroundColor")), jsx.html_value(F.lit("{x}")),
+        css_operators.selector_similarity(F.create_map(F.lit("Color"), F.lit("#FFF")), F.create_map(F.lit("color"), F.lit("#ffffff"), F.lit("m"), F.lit("0")))).first()
+    assert tuple(one) == (1.0, pytest.approx(0.6 / 3 + 0.4), "class", "onclick", "background-color", "[dynamic]", 0.5)
+
+
+def test_command_line(archives, capsys):
+    from twinweave.__main__ import main
+
+    assert main(["zip", "a.txt", "b.zip"]) == 2 and main(["files"]) == 2
+    assert main(["zip", str(archives / "one.zip"), str(archives / "two.zip")]) == 0
+    assert '"overall_similarity"' in capsys.readouterr().out

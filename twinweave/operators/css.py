@@ -134,3 +134,17 @@ def plain_value(value: str) -> str:
         return "#" + "".join(c * 2 for c in v[1:])
     pixels = re.fullmatch(r"([0-9]*\.?[0-9]+)px", v)
     return str(float(pixels[1])) if pixels else v
+
+
+def selector_similarity(a, b):
+    """Share of equal normalised values among all properties of two maps; a missing
+    one counts as the empty value, no properties as 1."""
+    from pyspark.sql import Column
+
+    def normal(m: Column) -> Column:
+        return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(F.trim(e["key"])), normalize_value(e["value"]))))
+
+    x, y = normal(a), normal(b)
+    props = F.array_union(F.map_keys(x), F.map_keys(y))
+    value = lambda m, k: F.coalesce(m[k], F.lit(""))
+    return F.when(F.size(props) == 0, F.lit(1.0)).otherwise(F.size(F.filter(props, lambda k: value(x, k) == value(y, k))) / F.size(props)).cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, parts
-from ..functions.similarity import jaccard, ratio_udf
+from ..functions.similarity import fuzzy_string, jaccard, ratio_udf
 
 # Entries that every project has, section weights, metadata keys.
 BOILERPLATE_PACKAGES = ("react", "react-dom", "next")
@@ -177,3 +177,37 @@ def config_scores(left: DataFrame, right: DataFrame) -> DataFrame:
         found = compare(a.join(b, "pair_id")).select("pair_id", compare.__name__)
         out = found if out is None else out.join(found, "pair_id", "full")
     return out
+
+
+def compiler_options_similarity(a: Column, b: Column) -> Column:
+    """Of two option maps: 0.6 of the names' Jaccard similarity and 0.4 of the mean
+    agreement of shared options (equal 1, else 0.7); names alone if none is shared."""
+    names = jaccard(F.map_keys(a), F.map_keys(b))
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    agreement = mean(F.transform(shared, lambda k: F.when(F.lower(a[k]) == F.lower(b[k]), 1.0).otherwise(0.7)))
+    return F.when(F.size(shared) == 0, names).otherwise(0.6 * names + 0.4 * agreement).cast("double")
+
+
+def include_exclude_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the included and excluded patterns of two tsconfig maps."""
+    none = F.array().cast("array<string>")
+
+    def patterns(m: Column) -> Column:
+        return F.concat(*(F.coalesce(F.from_json(m[k], "array<string>"), none) for k in ("include", "exclude")))
+
+    return jaccard(patterns(a), patterns(b))
+
+
+def paths_extends_table(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``key, paths_similarity``: mean of the path names' Jaccard similarity (1 unless
+    both sides have some) and of the text similarities of baseUrl and extends."""
+    def side(column: str, name: str) -> list[Column]:
+        options = object_map(F.col(column)["compilerOptions"])
+        return [F.map_keys(object_map(options["paths"])).alias(f"{name}p"), F.coalesce(options["baseUrl"], F.lit("")).alias(f"{name}b"),
+                F.coalesce(F.col(column)["extends"], F.lit("")).alias(f"{name}e")]
+
+    rows = pairs.select(key, *side(a, "x"), *side(b, "y"))
+    rows = rows.select("*", ratio_udf("xb", "yb").alias("rb"), ratio_udf("xe", "ye").alias("re"))
+    names = F.when((F.size("xp") > 0) & (F.size("yp") > 0), jaccard(F.col("xp"), F.col("yp"))).otherwise(1.0)
+    texts = [fuzzy_string(F.col(f"x{c}"), F.col(f"y{c}"), F.col(f"r{c}")) for c in "be"]
+    return rows.select(key, ((names + texts[0] + texts[1]) / 3).alias("paths_similarity"))

@@ -118,9 +118,9 @@ def rule_count(content: Column) -> Column:
     return F.length(content) - F.length(F.replace(content, F.lit("{"), F.lit("")))
 
 
-def size_gate(n1: Column, n2: Column, score: Column) -> Column:
-    """Two files of fewer than two nodes score 0, unless each has exactly one."""
-    return F.when((n1 < 2) & (n2 < 2) & ~((n1 == 1) & (n2 == 1)), F.lit(0.0)).otherwise(score)
+def size_gate(n1: Column, n2: Column) -> Column:
+    """False for two files of fewer than two nodes, unless each has exactly one."""
+    return (n1 >= 2) | (n2 >= 2) | ((n1 == 1) & (n2 == 1))
 
 
 def _html_score(a: str, b: str) -> float:
@@ -141,7 +141,7 @@ def _script_score(a: str, b: str) -> float:
 def _css_score(a: str, b: str) -> float:
     from .css import similarity_of_texts
 
-    return 0.0 if a.count("{") < 2 and b.count("{") < 2 and not (a.count("{") == 1 == b.count("{")) else similarity_of_texts(a, b)
+    return similarity_of_texts(a, b)
 
 
 _SCORES: dict[str, Callable[[str, str], float]] = {"html": _html_score, "css": _css_score, "js": _script_score, "jsx": _script_score}
@@ -156,7 +156,9 @@ def structure_score(kind, a, b):
 
 
 def structure_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    pairs = blocked_pairs(left.select(*GROUP, "path", "content"), right.select(*GROUP, "path", "content"))
+    texts = (F.coalesce(F.col(f"{s}.content"), F.lit("")) for s in "lr")
+    big_enough = (F.col("file_type") != "css") | size_gate(*map(rule_count, texts))
+    pairs = blocked_pairs(left.select(*GROUP, "path", "content"), right.select(*GROUP, "path", "content"), big_enough)
     return scored(pairs, structure_score("file_type", "l.content", "r.content"))
 
 
