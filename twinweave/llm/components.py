@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from .common import remove, work_dir, written
 
 
+#: Nodes that a task holds at once while it contracts edges.
+HELD = 500_000
+
+
 def _contract(batches):
-    """Union-find inside one partition: a star forest in place of its edges."""
+    """Union-find over runs of one partition's edges: a star forest in their place."""
     import numpy as np
     import pyarrow as pa
 
@@ -30,16 +34,21 @@ def _contract(batches):
             x = p
         return top
 
+    def stars():
+        rows = [(k, root(k)) for k in up]
+        up.clear()
+        for i in range(0, len(rows), 100_000):
+            part = np.array(rows[i : i + 100_000], dtype=np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             x, y = root(u), root(v)
             if x != y:
                 up[max(x, y)] = min(x, y)
-    rows = [(k, root(k)) for k in up]
-    rows = [r for r in rows if r[0] != r[1]]
-    for i in range(0, len(rows), 100_000):
-        part = np.array(rows[i : i + 100_000], dtype=np.int64).reshape(-1, 2)
-        yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
+        if len(up) > HELD:
+            yield from stars()
+    yield from stars()
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
