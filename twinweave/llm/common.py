@@ -49,9 +49,14 @@ def make_dirs(uri: str) -> None:
     store.create_dir(path, recursive=True)
 
 
+#: Parts at most: the driver plans, and reads a row of, each.
+MAX_PARTS = 50_000
+
+
 def number_of_parts(spark: SparkSession, df: DataFrame, column: str, mb: int = 24) -> int:
-    """Parts of about ``mb`` MB each of the text or binary ``column``."""
+    """Parts of about ``mb`` MB each of the text or binary ``column``; larger ones
+    beyond ``MAX_PARTS`` (about 1.2 TB at the default size)."""
     from pyspark.sql import functions as F
 
     total = df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
-    return max(int(spark.sparkContext.defaultParallelism), -(-total // (mb << 20)), 1)
+    return min(MAX_PARTS, max(int(spark.sparkContext.defaultParallelism), -(-total // (mb << 20)), 1))
