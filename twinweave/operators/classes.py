@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import html_nodes
-from ..functions.similarity import jaccard
+from ..functions.similarity import jaccard, multiset_jaccard
 
 _MARKUP = r'(?:class|className)\s*=\s*"([^"]+)"'
 #: The theme keys that count as extensions.
@@ -64,6 +64,24 @@ def compare_counts(left: DataFrame, right: DataFrame, keys: list[str], item: str
         "shared", "only_original", "only_modified", F.col("total").alias("n_classes"))
 
 
+def count_map(items: Column) -> Column:
+    """Item -> number of times it stands in an array, inside the row."""
+    kinds = F.array_distinct(items)
+    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(items, lambda x: x == k)).cast("long")))
+
+
+def compare_maps(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """As :func:`compare_counts`, for pairs whose counts are two map columns: nothing
+    is exploded or shuffled."""
+    x, y = F.map_keys(a), F.map_keys(b)
+    frequency, sets = multiset_jaccard(F.col(a), F.col(b)), jaccard(x, y)
+    rows = pairs.where((F.size(x) > 0) | (F.size(y) > 0))
+    rows = rows.select(*keys, frequency.alias("frequency_similarity"), sets.alias("set_similarity"), F.size(F.array_intersect(x, y)).cast("long").alias("shared"),
+                       F.size(x).cast("long").alias("n1"), F.size(y).cast("long").alias("n2"))
+    return rows.select(*keys, "frequency_similarity", "set_similarity", (0.5 * F.col("frequency_similarity") + 0.5 * F.col("set_similarity")).alias("hybrid_similarity"), "shared",
+                       (F.col("n1") - F.col("shared")).alias("only_original"), (F.col("n2") - F.col("shared")).alias("only_modified"), (F.col("n1") + F.col("n2") - F.col("shared")).alias("n_classes"))
+
+
 def merged_counts(left: DataFrame, right: DataFrame, keys: list[str], item: str = "class") -> DataFrame:
     """Full outer merge by item: counts a and b, 0 where absent."""
     a = left.select(*keys, item, F.col("n").alias("a"))

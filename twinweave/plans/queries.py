@@ -69,7 +69,10 @@ _LEVEL_SQL = "CASE WHEN {0} >= 0.75 THEN 'high' WHEN {0} >= 0.4 THEN 'moderate'
 
 
 def hybrids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes.compare_counts(*neighbours(tag_counts(spark, sf_dir)), ["page_id"], "tag")
+    """Each page with its neighbour: one join of small maps; counting stays in the row."""
+    tags = table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.transform(F.regexp_extract_all("html", F.lit(_TAG), F.lit(1)), F.lower).alias("t"))
+    maps = tags.where(F.size("t") > 0).select("page_id", classes.count_map(F.col("t")).alias("m"))
+    return classes.compare_maps(maps.join(maps.select((F.col("page_id") - 1).alias("page_id"), F.col("m").alias("m2")), "page_id"), ["page_id"], "m", "m2")
 
 
 @query(f"WITH {_TAGS_SQL} SELECT *, {_LEVEL_SQL.format('hybrid_similarity')} AS level FROM sims")
