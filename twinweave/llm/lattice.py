@@ -242,12 +242,14 @@ def _verify(threshold: float, width: int):
 
 def near_embeddings(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    rows = embeddings.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = written(rows.mapInArrow(_identify, "vec_id long, d binary, v array<double>"), "vectors")
+    # vectors travel as they are stored; their cosines are taken in doubles
+    kind = "array<float>" if embeddings.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v"))
+    rows = written(rows.mapInArrow(_identify, f"vec_id long, d binary, v {kind}"), "vectors")
     classes = rows.where("d is not null").groupBy("d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")).where("rep is not null")
     points, tables = plan(rows.count())
     width = 1 + PROBES * points
-    coded = written(classes.select("rep", "v", "n").mapInArrow(_hash(points, tables), "rep long, n long, v array<double>, codes array<long>"), "cells")
+    coded = written(classes.select("rep", "v", "n").mapInArrow(_hash(points, tables), f"rep long, n long, v {kind}, codes array<long>"), "cells")
     met = coded.select("rep", F.explode(F.array_distinct("codes")).alias("key"))
     # cells by size: one member needs no comparing, more than a block of them are dealt to several tasks
     sizes = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
