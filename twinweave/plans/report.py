@@ -48,7 +48,11 @@ def with_contents(matches: DataFrame, left: DataFrame, right: DataFrame) -> Data
 
 def tree_comparison(pairs: DataFrame, key: str = "pair_key", a: str = "original_content", b: str = "modified_content", ignore: tuple[str, ...] = ()) -> DataFrame:
     """One row per element of each pair: key, kind, tag, score, attr, text."""
-    nodes = pairs.select(key, html_nodes(a).alias("x"), html_nodes(b).alias("y"))
+    # parsing and aligning cost far more than the bytes suggest by which adaptive
+    # execution would merge partitions; a stated number keeps all cores at work
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    nodes = pairs.select(key, a, b).repartition(parts).select(key, html_nodes(a).alias("x"), html_nodes(b).alias("y"))
     return nodes.select(key, tree_elements(ignore)("x", "y").alias("e")).select(key, F.explode("e").alias("e")).select(key, "e.*")
 
 
