@@ -96,42 +96,63 @@ def _half_windows(h: Column) -> Column:
         F.sequence(F.lit(1), F.size(h), F.lit(half)), lambda i: _minima(F.slice(h, i, half))))
 
 
-def _templates(spark: SparkSession, templates: dict[str, str]):
-    """(table of names and shingles, name numbers by one-shingle key, by band key)."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license_id string, t string")
+def _templates(spark: SparkSession, templates: dict[str, str | list[str]]):
+    """(table of wordings and their shingles, wording numbers by one-shingle key, by band key)."""
+    flat = sorted((name, t) for name, x in templates.items() for t in ([x] if isinstance(x, str) else x))
+    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(flat)], "n int, license_id string, t string")
     rows = rows.withColumn("w", words(F.col("t"))).withColumn("s", shingles(F.col("w"))).withColumn("h", hashes(F.col("w")))
-    names = sorted(templates)
     exact: dict[int, set[int]] = {}
     banded: dict[int, set[int]] = {}
-    for r in rows.select("license_id", "s", "h").collect():  # as many rows as there are templates
-        n = names.index(r.license_id)
+    for r in rows.select("n", "s", "h").collect():  # as many rows as there are wordings
         if len(r.s) < 2 * WINDOW:
             for x in r.h:
-                exact.setdefault(x, set()).add(n)
+                exact.setdefault(x, set()).add(r.n)
             continue
         for at in range(len(r.h) - WINDOW + 1):
             for m in MASKS:
-                banded.setdefault(min(x ^ m for x in r.h[at : at + WINDOW]) ^ m, set()).add(n)
-    return rows.select("license_id", "s"), names, exact, banded
+                banded.setdefault(min(x ^ m for x in r.h[at : at + WINDOW]) ^ m, set()).add(r.n)
+    return rows.select("n", "license_id", "s"), exact, banded
 
 
 def _owners(keys: Column, owners: dict[int, set[int]]) -> Column:
-    """Template numbers of the keys that a template has."""
+    """Wording numbers of the keys that a template has.
+
+    Both tables are literals that the planner folds once: bits by 20 bits of the
+    key sift nearly all keys out, a list of slots holds the keys themselves.
+    """
     if not owners:
         return F.array().cast("array<int>")
-    lists = F.create_map(*(x for k, v in sorted(owners.items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))))
-    return F.flatten(F.transform(F.array_distinct(F.filter(keys, lambda x: x.isin(*owners))), lambda x: lists[x]))
+    bits = [0] * (1 << 14)
+    slots: list[list[str]] = [[] for _ in range(1 << max(4, len(owners).bit_length()))]
+    for k, v in sorted(owners.items()):
+        bits[(k & (1 << 20) - 1) >> 6] |= 1 << (k & 63)
+        slots[k % len(slots)].append(f"{k}:" + ".".join(map(str, sorted(v))))
+    signed = [x - (1 << 64) if x >> 63 else x for x in bits]
+    sieve = F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
+    table = F.split(F.lit(";".join("|".join(x) for x in slots)), ";")
+
+    def may(x: Column) -> Column:
+        word = F.get(sieve, F.shiftright(x.bitwiseAND(F.lit((1 << 20) - 1)), 6).cast("int"))
+        return F.getbit(word, x.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def lists(x: Column) -> Column:
+        slot = F.split(F.get(table, F.pmod(x, F.lit(len(slots))).cast("int")), r"\|")
+        own = F.filter(slot, lambda s: F.substring_index(s, ":", 1) == x.cast("string"))
+        return F.flatten(F.transform(own, lambda s: F.split(F.substring_index(s, ":", -1), r"\.").cast("array<int>")))
+
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.filter(keys, may)), lists)))
 
 
-def license_scan(documents: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
+def license_scan(documents: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str | list[str]] | None = None,
                  containment: float = CONTAINMENT) -> DataFrame:
     """``key, license_id, n_matched, n_template, containment`` for each match.
 
-    Nothing is shuffled: candidates are found inside the row, and the templates
-    (a fixed, small table) are broadcast.
+    A license with several wordings gives one row, of the wording with the most
+    shingles found.  Candidates are found inside the row, and the templates (a
+    fixed, small table) are broadcast; only matches are shuffled, without text.
     """
     spark = documents.sparkSession
-    table, names, exact, banded = _templates(spark, TEMPLATES if templates is None else templates)
+    table, exact, banded = _templates(spark, TEMPLATES if templates is None else templates)
     rows = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     rows = rows.select("k", "t", words(F.col("t")).alias("w"))
     h = rows.select("k", "t", hashes(F.col("w")).alias("h"))
@@ -143,10 +164,14 @@ def license_scan(documents: DataFrame, key: str = "doc_id", text: str = "text",
     # the row number keeps the planner from evaluating the arrays once more in a filter below
     found = halves.select("k", "t", F.monotonically_increasing_id().alias("row"), F.array_distinct(F.concat(
         _owners(F.col("h"), exact), _owners(bands, banded) if banded else F.array().cast("array<int>"))).alias("found"))
-    candidates = found.where((F.size("found") > 0) & (F.col("row") >= 0)).select("k", "t", F.explode("found").alias("n"))
-    named = candidates.select("k", F.get(F.array(*map(F.lit, names)), F.col("n")).alias("license_id"), words(F.col("t")).alias("w"))
-    named = named.select("k", "license_id", shingles(F.col("w")).alias("d"))
-    joined = named.join(F.broadcast(table), "license_id")
-    counted = joined.select("k", "license_id", F.size(F.array_intersect("s", "d")).cast("long").alias("n_matched"), F.size("s").cast("long").alias("n_template"))
-    return counted.select(F.col("k").alias(key), "license_id", "n_matched", "n_template",
-                          (F.col("n_matched") / F.col("n_template")).alias("containment")).where(F.col("containment") >= containment)
+    candidates = found.where((F.size("found") > 0) & (F.col("row") >= 0)).select("k", "t", "row", F.explode("found").alias("n"))
+    named = candidates.select("k", "row", "n", words(F.col("t")).alias("w")).select("k", "row", "n", shingles(F.col("w")).alias("d"))
+    joined = named.join(F.broadcast(table), "n")
+    counted = joined.select("k", "row", "license_id", F.size(F.array_intersect("s", "d")).cast("long").alias("n_matched"), F.size("s").cast("long").alias("n_template"))
+    matched = counted.withColumn("containment", F.col("n_matched") / F.col("n_template")).where(F.col("containment") >= containment)
+    if templates is not None and any(not isinstance(x, str) for x in templates.values()):
+        best = F.max(F.struct("n_matched", (-F.col("n_template")).alias("less"), "k")).alias("best")
+        matched = matched.groupBy("row", "license_id").agg(best).select(
+            F.col("best.k").alias("k"), "license_id", F.col("best.n_matched").alias("n_matched"), (-F.col("best.less")).alias("n_template"),
+            (F.col("best.n_matched") / -F.col("best.less")).alias("containment"))
+    return matched.select(F.col("k").alias(key), "license_id", "n_matched", "n_template", "containment")

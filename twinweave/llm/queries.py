@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, lattice, licenses, mixing, quality, simhash, tokenfile, warc
+from . import bpe, chat, decontaminate, lattice, license_templates, licenses, mixing, quality, simhash, tokenfile, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -47,7 +47,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents"), templates=license_templates.public_templates())
 
 
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
