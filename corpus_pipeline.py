@@ -16,22 +16,31 @@ from twinweave.llm.common import written
 from twinweave.llm.queries import table, tokenizer_path
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ids (null-safe)."""
-    ids = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+_ROW = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows, written once with a key of their own, so that ids need be neither set nor unique."""
+    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among keys, without the key."""
+    return keyed.join(keys.select(_ROW), _ROW, "left_semi").drop(_ROW)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scores.where("predicted = 1"))
+    """Rows that the classifier rejects go; each row is decided by its own text."""
+    keyed = _keyed(docs)
+    scores = quality.quality_scores(keyed, table(spark, sf_dir, "labels"), row=_ROW)
+    return _kept(keyed, scores.where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest id, once."""
-    found = simhash.near_duplicates(docs)
-    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group stays: of the smallest id (null last), the smallest row key."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed, row=_ROW)
+    return _kept(keyed, found.where(F.col(_ROW) == F.col("component_row")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +51,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix has it."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix has it."""
+    keyed = _keyed(docs)
+    copies = mixing.mix(keyed, row=_ROW).where("copies > 0").select(_ROW, F.col("copies").alias("_copies"))
+    joined = keyed.join(copies, _ROW)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,13 +69,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
-        max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+        max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, row: str | None = None) -> DataFrame:
     """``key, size, source_size, target, taken, copies`` for every row: copies is
-    how often the mix has the document, taken its size times that."""
+    how often the mix has the document, taken its size times that; and the
+    column ``row`` of the documents if it is named."""
+    carried = [] if row is None else [F.col(row).alias("own")]
     same = F.col("source").eqNullSafe(F.col("s"))
     docs = documents.select(
         F.col(key).alias("k"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"),
-        (-F.log(uniform(F.col(key))) / quality_weight(F.col(text))).alias("es"), F.monotonically_increasing_id().alias("row"))
+        (-F.log(uniform(F.col(key))) / quality_weight(F.col(text))).alias("es"), F.monotonically_increasing_id().alias("row"), *carried)
     # 1 - exp(-key) grows with the key, so buckets follow the order of keys
     docs = docs.withColumn("bucket", F.floor((1 - F.exp(-F.col("es"))) * buckets).cast("int"))
     # the text is read once; from here on row numbers are fixed and rows narrow
@@ -111,4 +113,5 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
     chosen = F.coalesce(taken | F.coalesce(F.col("row") == F.col("extra"), F.lit(False)), F.lit(False))
     out = docs.join(goal, same).withColumn("copies", F.col("epochs") + chosen.cast("long"))
-    return out.select(F.col("k").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select(F.col("k").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
+                      *([F.col("own").alias(row)] if carried else []))

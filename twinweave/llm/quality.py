@@ -222,7 +222,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return fit(x, y)
 
 
-def _scored(model):
+def _scored(model, row=None):
     def run(batches):
         import pyarrow as pa
 
@@ -230,16 +230,20 @@ def _scored(model):
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 s = model.value.score(features(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["k", "score"])
+                columns, names = [part.column(0), pa.array(s, pa.float64())], ["k", "score"]
+                if row is not None:
+                    columns, names = [*columns, part.column(2)], [*names, "r"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-                   max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``key, held_out, score, predicted`` for every row."""
+                   max_labelled: int = MAX_LABELLED, row: str | None = None) -> DataFrame:
+    """``key, held_out, score, predicted`` for every row, and the long column ``row`` of the documents if it is named."""
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, key, text, max_labelled=max_labelled))
-    rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    out = rows.mapInArrow(_scored(model), "k long, score double")
+    carried = [] if row is None else [F.col(row).cast("long").alias("r")]
+    rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *carried)
+    out = rows.mapInArrow(_scored(model, row), "k long, score double" + (", r long" if carried else ""))
     return out.select(F.col("k").alias(key), F.coalesce(~learnable(F.col("k")), F.lit(False)).alias("held_out"), "score",
-                      (F.col("score") >= threshold).cast("int").alias("predicted"))
+                      (F.col("score") >= threshold).cast("int").alias("predicted"), *([F.col("r").alias(row)] if carried else []))

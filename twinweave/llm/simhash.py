@@ -67,13 +67,15 @@ def _fingerprints(batches):
         for at in range(0, b.num_rows, 1024):
             part = b.slice(at, 1024)
             f = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f)], names=["doc_id", "fp"])
+            # a row key, if there is one, is the third column
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f), *part.columns[2:]], names=["doc_id", "fp", "row"][: part.num_columns])
 
 
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long; and the long column ``row`` if it is named."""
+    carried = [] if row is None else [F.col(row).cast("long").alias("row")]
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), *carried)
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long" + (", row long" if carried else ""))
 
 
 def golay_tables():
@@ -249,19 +251,27 @@ def _link(batches):
         yield edges(out)
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) ``, component_id`` for every row.
 
+    If a column of unique row keys is named, also that column and
+    ``component_row``: of the component's rows with the smallest doc_id (null
+    last) the smallest key.
+
     Text is read once; what is shuffled is fingerprints (16 bytes a document)
     and keys of distinct fingerprints (at most 18 of 16 bytes).
     """
-    fps = written(fingerprints(documents, key, text), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    fps = written(fingerprints(documents, key, text, row), "fingerprints")
+    lows = [F.min("doc_id").alias("low")]
+    if row is not None:
+        lows.append(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    classes = fps.groupBy("fp").agg(*lows)
     keys = classes.select("fp").mapInArrow(_keys, "key long, fp long")
     links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "u long, v long")
     roots = components(links, "u", "v")
-    classes = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "root").select(F.col("fp").alias("f"), "component_id")
+    more = [] if row is None else ["first"]
+    classes = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", *more, F.coalesce("root", "fp").alias("root"))
+    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"), *(F.min(c).alias("component_first") for c in more))
+    named = classes.join(lows, "root").select(F.col("fp").alias("f"), "component_id", *(F.col("component_first.row").alias("component_row") for _ in more))
     return fps.join(named, F.col("fp") == F.col("f")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([F.col("row").alias(row), "component_row"] if more else []))
