@@ -121,8 +121,8 @@ def type_score(spark, sf_dir):
 t AS (SELECT pair_id, count(*) AS files, avg(s) AS overall_similarity FROM s GROUP BY pair_id) SELECT *, {_LEVEL_SQL.format('overall_similarity')} AS level FROM t""")
 def overall_score(spark, sf_dir):
     configs = fixture(spark, "(VALUES (0L, 0.5D, 0.25D), (1L, 1.0D, CAST(NULL AS DOUBLE)), (2L, CAST(NULL AS DOUBLE), 0.125D)) AS t(pair_id, package_similarity, tsconfig_similarity)")
-    some = hybrids(spark, sf_dir).where("page_id % 3 = 0").withColumn("pair_id", F.col("page_id") % 7)
-    return scores.overall_scores(*_derived(spark, sf_dir), some, configs)
+    pairs = hybrids(spark, sf_dir).withColumn("pair_id", F.col("page_id") % 7)
+    return scores.overall_scores(*_derived(spark, sf_dir), pairs, configs)
 
 
 @query(f"""WITH {_TAGS_SQL}, k AS (SELECT page_id % 7 AS pair_id, CASE WHEN b = 0 THEN 'missing' WHEN a = 0 THEN 'extra' WHEN a = b THEN 'match' ELSE 'different' END AS kind FROM merged)
