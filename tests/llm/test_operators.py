@@ -386,11 +386,78 @@ def test_mixing(spark, sf):
     for n in names:
         size, taken, target, stated = sizes[n]
         assert stated == size and target == pytest.approx(goal[n])
-        assert abs(taken - target) <= 0.05 * target  # a source has some ten documents here
+    off = {n: abs(sizes[n][1] - sizes[n][2]) / sizes[n][2] for n in names}
+    assert all(x <= 0.05 for x in off.values()), off  # a source has some ten documents here
     again = {r.doc_id: r.taken for r in mixing.mix(df.repartition(7)).collect()}
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+def plain_mix(rows):
+    """(size, target, copies) of each of rows (key, size, source) with the keys' order given, one source after the other."""
+    names = sorted({r[2] for r in rows}, key=lambda n: (n is None, n or ""))
+    own = {n: sorted(r[:2] for r in rows if r[2] == n) for n in names}
+    size = {n: sum(x[1] for x in own[n]) for n in names}
+    weight = {n: k % 3 + 1 for k, n in enumerate(names)}
+    capped = set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[n] for n in capped)
+        share = {n: left * weight[n] / sum(weight[m] for m in names if m not in capped) for n in names if n not in capped}
+        over = {n for n in share if share[n] > 3 * size[n]}
+        if not over:
+            break
+        capped |= over
+    out = []
+    for n in names:
+        target = share.get(n, 3.0 * size[n])
+        epochs = int(target // size[n]) if size[n] else 0
+        missing = target - epochs * size[n]
+        state = []
+        for es, x in own[n]:
+            fits = 0 < x <= missing
+            missing -= x * fits
+            state.append([es, x, fits])
+        free, used = [x for _, x, f in state if not f and x], [x for _, x, f in state if f]
+        add, drop = min(((u, t) for u in {0, *free} for t in {0, *used}), key=lambda p: (abs(missing - (p[0] - p[1])), p[0] - p[1], *p))
+        if add != drop:
+            for want, flag, order in ((add, False, state), (drop, True, state[::-1])):
+                if want:
+                    hit = next(x for x in order if x[1] == want and x[2] == flag)
+                    hit[2] = None
+            for x in state:
+                if x[2] is None:
+                    x[2] = x[1] == add  # added and dropped sizes differ
+        out += [(x, round(target, 6), epochs + bool(f)) for _, x, f in state]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,buckets", [(1, 4096), (2, 4), (3, 1), (4, 64)])
+def test_mixing_plain(spark, seed, buckets):
+    """Many equal rows, null ids and sources, one hot source."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        n = rng.choice([0, 1, 2, 5, 30, 31, 200, 3000])
+        rows.append((rng.choice([None, i, 7, 8]), rng.choice([" ".join(["word"] * n), None if n == 5 else "x " * n]), rng.choice(["a", "a", "a", "b", "", None, "é"])))
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, buckets=buckets, row="text").collect()
+    assert len(got) == 450
+    given = {}
+    for r in df.select("doc_id", "source", mixing.n_words(df.text).alias("n"), (-mixing.F.log(mixing.uniform(df.doc_id, df.text)) / mixing.quality_weight(
+            df.text, mixing.n_words(df.text))).alias("es")).collect():
+        given.setdefault(r.source, []).append((r.es, r.n, r.source))
+    want = plain_mix([x for v in given.values() for x in v])
+    assert sorted((r["size"], round(r.target, 6), r.copies) for r in got) == want
+    assert all(r.taken == r["size"] * r.copies for r in got)
+
+
+def test_mixing_given_weight(spark):
+    rows = [(i, "a b c d", "s", w) for i, w in enumerate([0.9, None, float("nan"), -1.0, float("inf"), 0.0] * 20)] + [(1000 + i, "w " * 40, "t", 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    got = mixing.mix(df, weight="weight").join(df.select("doc_id", "source", "weight"), "doc_id").where("source = 't'").collect()
+    assert len(got) == 40 and abs(sum(r.taken for r in got) - got[0].target) <= 40
+    assert mixing.mix(df, weight="weight").count() == len(rows)
+
+
 def test_mixing_awkward(spark):
     rows = [(i, t, [None, "a", "b", "", "A"][i % 5]) for i, t in enumerate(AWKWARD * 3)] + [(None, "x y", "a"), (None, None, None), (0, "one", "z"), (0, "one", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -136,11 +136,16 @@ FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) x ON x
   LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) y ON y.a = vec_id"""
 
 _OP9 = r"""
-WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
-    / greatest(0.05::DOUBLE, coalesce(CAST(length(regexp_replace(text, '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS DOUBLE) / nullif(length(text), 0), 0.0::DOUBLE)) AS es
+WITH RECURSIVE texts AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
+counts AS (SELECT *, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS solid, length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) AS letters,
+    length(t) - length(regexp_replace(t, '[#{}<>|]', '', 'g')) AS marks, list_filter(str_split(t, chr(10)), lambda x: x <> '') AS lines
+  FROM texts),
+docs AS (SELECT doc_id, source, size, -ln(u) / greatest(0.05::DOUBLE, (CAST(size BETWEEN 50 AND 100000 AS INT)
+    + CAST(size > 0 AND solid BETWEEN 3 * size AND 10 * size AS INT) + CAST(solid > 0 AND 5 * letters >= 4 * solid AS INT)
+    + CAST(size > 0 AND 10 * marks <= size AS INT) + CAST(len(lines) > 0 AND 10 * len(list_distinct(lines)) >= 7 * len(lines) AS INT)) / 5.0::DOUBLE) AS es
+  FROM counts),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s0),
 s2 AS (SELECT *, CAST(1 + (rank - 1) % 3 AS DOUBLE) AS weight, 3 * CAST(source_size AS DOUBLE) AS cap FROM s1),
@@ -148,14 +153,28 @@ s3 AS (SELECT *, cap / weight AS level FROM s2),
 s4 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY level, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY level, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM s3),
 s5 AS (SELECT *, (SELECT arg_min(share, level) FROM s4 WHERE level >= share) AS common FROM s4),
-goal AS (SELECT source, source_size, CASE WHEN level < common THEN cap ELSE coalesce(weight * common, cap) END AS target FROM s5),
+goal AS (SELECT source, rank, source_size, CASE WHEN level < common THEN cap ELSE coalesce(weight * common, cap) END AS target FROM s5),
 g2 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goal),
-d2 AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY es, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-  FROM docs d JOIN g2 ON d.source IS NOT DISTINCT FROM g2.source),
-d3 AS (SELECT *, rest - coalesce(max(CASE WHEN running <= rest THEN running END) OVER (PARTITION BY source), 0) AS gap FROM d2),
-d4 AS (SELECT *, row_number() OVER (PARTITION BY source, running <= rest ORDER BY abs(size - gap), es, doc_id) AS nth FROM d3)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, size * copies AS taken, copies FROM (
-  SELECT *, CAST(epochs + CASE WHEN running <= rest OR (nth = 1 AND abs(size - gap) < gap) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM d4)"""
+g3 AS (SELECT *, target - epochs * source_size AS rest FROM g2),
+-- in order of keys every document is taken that fits what is still missing
+numbered AS (SELECT d.*, rank, row_number() OVER (PARTITION BY rank ORDER BY es, size, doc_id) AS nth FROM docs d JOIN g3 ON d.source IS NOT DISTINCT FROM g3.source WHERE size > 0),
+walk(rank, nth, room, fits) AS (
+  SELECT rank, CAST(0 AS BIGINT), CAST(floor(rest) AS BIGINT), false FROM g3
+  UNION ALL SELECT w.rank, n.nth, CASE WHEN n.size <= w.room THEN w.room - n.size ELSE w.room END, n.size <= w.room
+  FROM walk w JOIN numbered n ON n.rank = w.rank AND n.nth = w.nth + 1),
+state AS (SELECT n.*, fits FROM numbered n JOIN walk USING (rank, nth)),
+missing AS (SELECT rank, min(room) + any_value(rest) - floor(any_value(rest)) AS missing FROM walk JOIN g3 USING (rank) GROUP BY rank),
+-- one more, one less or an exchange
+adds AS (SELECT DISTINCT rank, size FROM state WHERE NOT fits UNION SELECT rank, 0 FROM g3),
+drops AS (SELECT DISTINCT rank, size FROM state WHERE fits UNION SELECT rank, 0 FROM g3),
+best AS (SELECT rank, a.size AS added, x.size AS dropped FROM adds a JOIN drops x USING (rank) JOIN missing USING (rank)
+  QUALIFY row_number() OVER (PARTITION BY rank ORDER BY abs(missing - (a.size - x.size)), a.size - x.size, a.size, x.size) = 1),
+ends AS (SELECT s.*, row_number() OVER (PARTITION BY rank, fits, size ORDER BY es, doc_id) AS low, row_number() OVER (PARTITION BY rank, fits, size ORDER BY es DESC, doc_id DESC) AS high FROM state s),
+taken AS (SELECT doc_id, es, size, rank, CASE WHEN fits THEN CASE WHEN high = 1 AND size = dropped AND added <> dropped THEN 0 ELSE 1 END
+  ELSE CASE WHEN low = 1 AND size = added AND added <> dropped THEN 1 ELSE 0 END END AS more FROM ends JOIN best USING (rank)),
+every AS (SELECT doc_id, rank, size, more FROM taken
+  UNION ALL SELECT doc_id, rank, size, 0 FROM docs d JOIN g3 ON d.source IS NOT DISTINCT FROM g3.source WHERE size = 0)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (epochs + more) AS BIGINT) AS taken, CAST(epochs + more AS BIGINT) AS copies
+FROM every JOIN g3 USING (rank)"""
 
 ORACLES = {"op1_chat_format": _OP1, "op2_decontaminate": _OP2, "op3_warc": _OP3, "op7_licenses": _OP7, "op8_lattice": _OP8, "op9_mix": _OP9}
