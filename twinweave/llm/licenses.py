@@ -5,20 +5,37 @@ shingles are five words.  A template's containment in a document is the share
 of the template's distinct shingles that the document has; it matches at
 ``CONTAINMENT`` or more.
 
-Retrieval.  The windows are runs of consecutive shingles.  A template with fewer
-than ``2 * WINDOW`` shingles is retrieved by windows of one shingle, whose
-MinHash is the shingle's own hash; so any shared shingle retrieves it, with
-certainty.  A longer one is retrieved by windows of ``WINDOW`` shingles at every
-half window of the document and at every place of the template, by ``BANDS``
-bands of one MinHash.  At 0.8 of the shingles kept some window keeps 0.8 of its
-own, a Jaccard similarity of 2/3 or more: the bands miss that one window with
-probability (1/3)^8, about 0.00015, and a template has several.
-
-Verification compares the shingles themselves over the whole document.
+Retrieval.  Windows are runs of consecutive shingles.  In each of ``BANDS``
+orders (a shingle's hash under a mask) a window's MinHash is its first shingle;
+a template is retrieved if some window of the document and some window of the
+template have the same MinHash in the same order.  The windows suit the
+template's length:
+
+* under ``2 * WINDOW`` shingles: ``SHORT`` shingles, at every place of both.  An
+  unaltered run of two shingles is found with certainty, because equal windows
+  have equal minima.  So is a template of one shingle, because each leading bit
+  is set in some masks and not in others, which makes the shingle the first of any two
+  in some order.  At 0.8 a template of two to four shingles has them all, and
+  one of five or more has two in a row unless the text was cut up on purpose; a
+  shingle left alone still meets with probability 1/3 an order, so that eight
+  orders miss it with (2/3)^8, under 0.04, each.
+* else: ``WINDOW`` shingles, at every half window of the document and every place
+  of the template.  At 0.8 of the shingles kept some window keeps 0.8 of its own,
+  a Jaccard similarity of 2/3 or more: eight orders miss that one window with
+  (1/3)^8, about 0.00015, and a template has several.
+
+The MinHash of a window is one of its shingles, so only places that hold a
+shingle of some template are looked at: a sieve of ``2**SIEVE`` bits, probed twice,
+passes all of these and few others.
+
+Verification counts the template's distinct shingles in the whole document by
+comparing them as text.
 
 Defined cases: null, empty and short texts match nothing; a template under five
-words has no shingles and matches nothing; repeated rows are scanned each;
-columns not named are ignored; an empty table gives an empty table.
+words has no shingles and matches nothing; very long texts are windows like any
+other, all in one row; ties between wordings of one license go to the wording
+with the fewest shingles; repeated rows are scanned each; columns not named are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,8 +47,12 @@ from .common import ascii_lower
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+SHORT = 2
 WINDOW = 16
 BANDS = 8
+SIEVE = 20
+#: Rows of the template table that are broadcast; a larger one is joined as any table.
+BROADCAST_ROWS = 500_000
 #: Masks of the bands' hash orders (multiples of the 64-bit golden ratio).
 MASKS = [((k * 0x9E3779B97F4A7C15) & (2**64 - 1)) - 2**63 for k in range(1, BANDS + 1)]
 
@@ -76,71 +97,81 @@ def hashes(w: Column) -> Column:
         lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def shingles(w: Column) -> Column:
-    return F.when(F.size(w) >= SHINGLE, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))).otherwise(
-        F.array().cast("array<string>"))
+def _bits(chosen: list[Column]) -> Column:
+    """A number with bit k set if the k-th condition holds."""
+    flags = [F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(chosen)]
+    return sum(flags[1:], flags[0])
+
 
+def _short_orders(h: Column, i: Column) -> Column:
+    """Orders in which place i of h is the first of a window of two."""
 
-def _minima(window: Column) -> Column:
-    def least(mask: int) -> Column:
-        return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(mask))))
+    def first(m: int) -> Column:
+        own, before, after = (F.get(h, k).bitwiseXOR(F.lit(m)) for k in (i, i - 1, i + 1))
+        return F.coalesce(own <= before, F.lit(False)) | F.coalesce(own <= after, F.lit(False)) | (F.size(h) == 1)
 
-    return F.array(*map(least, MASKS))
+    return _bits([first(m) for m in MASKS])
 
 
-def _half_windows(h: Column) -> Column:
-    """The minima of each run of half a window; the last may be shorter."""
+def _long_orders(h: Column, i: Column) -> Column:
+    """Orders in which place i of h is the first of a window that begins at a half window's place."""
     half = WINDOW // 2
-    return F.when(F.size(h) > 0, F.transform(
-        F.sequence(F.lit(1), F.size(h), F.lit(half)), lambda i: _minima(F.slice(h, i, half))))
+    begin = i - i % half
 
+    def first(m: int) -> Column:
+        def least(at: Column) -> Column:
+            return F.array_min(F.transform(F.slice(h, at, WINDOW), lambda x: x.bitwiseXOR(F.lit(m))))
 
-def _templates(spark: SparkSession, templates: dict[str, str | list[str]]):
-    """(table of wordings and their shingles, wording numbers by one-shingle key, by band key)."""
-    flat = sorted((name, t) for name, x in templates.items() for t in ([x] if isinstance(x, str) else x))
-    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(flat)], "n int, license_id string, t string")
-    rows = rows.withColumn("w", words(F.col("t"))).withColumn("s", shingles(F.col("w"))).withColumn("h", hashes(F.col("w")))
-    exact: dict[int, set[int]] = {}
-    banded: dict[int, set[int]] = {}
-    for r in rows.select("n", "s", "h").collect():  # as many rows as there are wordings
-        if len(r.s) < 2 * WINDOW:
-            for x in r.h:
-                exact.setdefault(x, set()).add(r.n)
-            continue
-        for at in range(len(r.h) - WINDOW + 1):
-            for m in MASKS:
-                banded.setdefault(min(x ^ m for x in r.h[at : at + WINDOW]) ^ m, set()).add(r.n)
-    return rows.select("n", "license_id", "s"), exact, banded
-
-
-def _owners(keys: Column, owners: dict[int, set[int]]) -> Column:
-    """Wording numbers of the keys that a template has.
-
-    Both tables are literals that the planner folds once: bits by 20 bits of the
-    key sift nearly all keys out, a list of slots holds the keys themselves.
-    """
-    if not owners:
-        return F.array().cast("array<int>")
-    bits = [0] * (1 << 14)
-    slots: list[list[str]] = [[] for _ in range(1 << max(4, len(owners).bit_length()))]
-    for k, v in sorted(owners.items()):
-        bits[(k & (1 << 20) - 1) >> 6] |= 1 << (k & 63)
-        slots[k % len(slots)].append(f"{k}:" + ".".join(map(str, sorted(v))))
-    signed = [x - (1 << 64) if x >> 63 else x for x in bits]
-    sieve = F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
-    table = F.split(F.lit(";".join("|".join(x) for x in slots)), ";")
+        own = F.get(h, i).bitwiseXOR(F.lit(m))
+        return (own == least(begin + 1)) | ((begin > 0) & (own == least(F.greatest(begin + 1 - half, F.lit(1)))))
 
-    def may(x: Column) -> Column:
-        word = F.get(sieve, F.shiftright(x.bitwiseAND(F.lit((1 << 20) - 1)), 6).cast("int"))
-        return F.getbit(word, x.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return _bits([first(m) for m in MASKS])
 
-    def lists(x: Column) -> Column:
-        slot = F.split(F.get(table, F.pmod(x, F.lit(len(slots))).cast("int")), r"\|")
-        own = F.filter(slot, lambda s: F.substring_index(s, ":", 1) == x.cast("string"))
-        return F.flatten(F.transform(own, lambda s: F.split(F.substring_index(s, ":", -1), r"\.").cast("array<int>")))
 
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.filter(keys, may)), lists)))
+def _template_orders(h: list[int]) -> list[int]:
+    """For each place of a template's shingles the orders in which it is the first of some window."""
+    size = SHORT if len(h) < 2 * WINDOW else WINDOW
+    out = [0] * len(h)
+    for at in range(max(1, len(h) - size + 1)):
+        for k, m in enumerate(MASKS):
+            out[min(range(at, min(at + size, len(h))), key=lambda i: h[i] ^ m)] |= 1 << k
+    return out
+
+
+def _templates(spark: SparkSession, templates: dict[str, str | list[str]]) -> tuple[DataFrame, int, list[int]]:
+    """``n, license_id, n_template, part, s, orders, is_long`` of the wordings' distinct shingles; their number; their hashes."""
+    flat = sorted((name, t) for name, x in templates.items() for t in ([x] if isinstance(x, str) else x))
+    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(flat)], "n int, license_id string, t string")
+    rows = rows.withColumn("w", words(F.col("t"))).withColumn("h", hashes(F.col("w")))
+    table, seen = [], set()
+    for r in rows.select("n", "license_id", "w", "h").collect():  # as many rows as there are wordings
+        found: dict[str, int] = {}
+        for i, orders in enumerate(_template_orders(r.h) if r.h else []):
+            s = " ".join(r.w[i : i + SHINGLE])
+            found[s] = found.get(s, 0) | orders
+        seen.update(r.h)
+        table += [(r.n, r.license_id, len(found), part, s, orders, len(r.h) >= 2 * WINDOW) for part, (s, orders) in enumerate(found.items())]
+    schema = "n int, license_id string, n_template long, part int, s string, orders int, is_long boolean"
+    return spark.createDataFrame(table, schema), len(table), sorted(seen)
+
+
+def _sieve(keys: list[int]):
+    """Test for numbers that may be among keys, a literal that the planner folds once."""
+    mask, shift = (1 << SIEVE) - 1, SIEVE + 4
+    bits = [0] * (1 << (SIEVE - 6))
+    for k in keys:
+        for x in (k & mask, (k >> shift) & mask):
+            bits[x >> 6] |= 1 << (x & 63)
+    held = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)), ",").cast("array<bigint>")
+
+    def may(key: Column) -> Column:
+        def is_set(x: Column) -> Column:
+            x = x.bitwiseAND(F.lit(mask))
+            return F.getbit(F.get(held, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        return is_set(key) & is_set(F.shiftright(key, shift))
+
+    return may
 
 
 def license_scan(documents: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str | list[str]] | None = None,
@@ -148,30 +179,24 @@ def license_scan(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """``key, license_id, n_matched, n_template, containment`` for each match.
 
     A license with several wordings gives one row, of the wording with the most
-    shingles found.  Candidates are found inside the row, and the templates (a
-    fixed, small table) are broadcast; only matches are shuffled, without text.
+    shingles found.  Documents are scanned where they lie; what is shuffled is,
+    for each document and wording that share a shingle, which ones.
     """
-    spark = documents.sparkSession
-    table, exact, banded = _templates(spark, TEMPLATES if templates is None else templates)
-    rows = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    rows = rows.select("k", "t", words(F.col("t")).alias("w"))
-    h = rows.select("k", "t", hashes(F.col("w")).alias("h"))
-    halves = h.select("k", "t", "h", _half_windows(F.col("h")).alias("m") if banded else F.lit(None).cast("array<array<bigint>>").alias("m"))
-    bands = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("m") - 2, F.lit(0))),
-        lambda i: F.array(*(F.least(F.get(F.get("m", i), F.lit(k)), F.get(F.coalesce(F.get("m", i + 1), F.get("m", i)), F.lit(k))).bitwiseXOR(F.lit(m))
-                            for k, m in enumerate(MASKS)))))
-    # the row number keeps the planner from evaluating the arrays once more in a filter below
-    found = halves.select("k", "t", F.monotonically_increasing_id().alias("row"), F.array_distinct(F.concat(
-        _owners(F.col("h"), exact), _owners(bands, banded) if banded else F.array().cast("array<int>"))).alias("found"))
-    candidates = found.where((F.size("found") > 0) & (F.col("row") >= 0)).select("k", "t", "row", F.explode("found").alias("n"))
-    named = candidates.select("k", "row", "n", words(F.col("t")).alias("w")).select("k", "row", "n", shingles(F.col("w")).alias("d"))
-    joined = named.join(F.broadcast(table), "n")
-    counted = joined.select("k", "row", "license_id", F.size(F.array_intersect("s", "d")).cast("long").alias("n_matched"), F.size("s").cast("long").alias("n_template"))
-    matched = counted.withColumn("containment", F.col("n_matched") / F.col("n_template")).where(F.col("containment") >= containment)
-    if templates is not None and any(not isinstance(x, str) for x in templates.values()):
-        best = F.max(F.struct("n_matched", (-F.col("n_template")).alias("less"), "k")).alias("best")
-        matched = matched.groupBy("row", "license_id").agg(best).select(
-            F.col("best.k").alias("k"), "license_id", F.col("best.n_matched").alias("n_matched"), (-F.col("best.less")).alias("n_template"),
-            (F.col("best.n_matched") / -F.col("best.less")).alias("containment"))
-    return matched.select(F.col("k").alias(key), "license_id", "n_matched", "n_template", "containment")
+    table, n_rows, keys = _templates(documents.sparkSession, TEMPLATES if templates is None else templates)
+    may = _sieve(keys)
+    rows = documents.select(F.col(key).alias("k"), words(F.col(text).cast("string")).alias("w"))
+    rows = rows.select("k", "w", hashes(F.col("w")).alias("h"))
+    rows = rows.select("k", "w", "h", F.when(F.size("h") > 0, F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: may(F.get("h", i)))).alias("at"))
+    # the row number also keeps the planner from evaluating the arrays once more in a filter below
+    found = rows.select("k", F.monotonically_increasing_id().alias("row"), F.array_distinct(F.transform("at", lambda i: F.struct(
+        F.array_join(F.slice("w", i + 1, SHINGLE), " ").alias("s"), _short_orders(F.col("h"), i).alias("short"), _long_orders(F.col("h"), i).alias("long")))).alias("found"))
+    places = found.select("k", "row", F.explode("found").alias("x")).select("k", "row", "x.s", "x.short", "x.long")
+    shared = places.join(F.broadcast(table) if n_rows <= BROADCAST_ROWS else table, "s")
+    meets = F.when(F.col("is_long"), F.col("long")).otherwise(F.col("short")).bitwiseAND(F.col("orders")) != 0
+    counted = shared.groupBy("row", "n").agg(
+        F.any_value("k").alias("k"), F.any_value("license_id").alias("license_id"), F.any_value("n_template").alias("n_template"),
+        F.size(F.collect_set("part")).cast("long").alias("n_matched"), F.max(meets).alias("retrieved"))
+    matched = counted.where("retrieved").withColumn("containment", F.col("n_matched") / F.col("n_template")).where(F.col("containment") >= containment)
+    best = matched.groupBy("row", "license_id").agg(F.max(F.struct("n_matched", (-F.col("n_template")).alias("less"), "k")).alias("best"))
+    return best.select(F.col("best.k").alias(key), "license_id", "best.n_matched", (-F.col("best.less")).alias("n_template"),
+                       (F.col("best.n_matched") / -F.col("best.less")).alias("containment"))
