@@ -113,18 +113,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f"""
 
-_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, x in license_templates.public_templates().items() for v in x)
 _OP7 = rf"""
 WITH templates(license_id, text) AS (VALUES {_TEMPLATE_ROWS}),
-t AS (SELECT DISTINCT license_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-      FROM (SELECT license_id, {_WORDS} AS w FROM templates), unnest(range(1, greatest(1, len(w) - 3))) AS u(i)),
-n AS (SELECT license_id, count(*) AS n_template FROM t GROUP BY license_id),
+wordings AS (SELECT *, row_number() OVER () AS n FROM templates),
+t AS (SELECT DISTINCT n, license_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+      FROM (SELECT n, license_id, {_WORDS} AS w FROM wordings), unnest(range(1, greatest(1, len(w) - 3))) AS u(i)),
+sizes AS (SELECT n, count(*) AS n_template FROM t GROUP BY n),
 d AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-      FROM (SELECT doc_id, {_WORDS} AS w FROM documents), unnest(range(1, greatest(1, len(w) - 3))) AS u(i))
-SELECT doc_id, license_id, count(*) AS n_matched, any_value(n_template) AS n_template,
-  CAST(count(*) AS DOUBLE) / any_value(n_template) AS containment
-FROM d JOIN t USING (s) JOIN n USING (license_id) GROUP BY doc_id, license_id
-HAVING CAST(count(*) AS DOUBLE) / any_value(n_template) >= 0.8"""
+      FROM (SELECT doc_id, {_WORDS} AS w FROM documents), unnest(range(1, greatest(1, len(w) - 3))) AS u(i)),
+counted AS (SELECT doc_id, license_id, n, count(*) AS n_matched FROM d JOIN t USING (s) GROUP BY doc_id, license_id, n)
+SELECT doc_id, license_id, n_matched, n_template, CAST(n_matched AS DOUBLE) / n_template AS containment
+FROM counted JOIN sizes USING (n) WHERE CAST(n_matched AS DOUBLE) / n_template >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, license_id ORDER BY n_matched DESC, n_template) = 1"""
 
 _OP8 = """
 WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
