@@ -82,15 +82,15 @@ def brute_contamination(text, items, size=13):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_chars", [8 << 20, 40])
-def test_decontamination(spark, block_chars):
+@pytest.mark.parametrize("block_nodes,piece", [(500_000, 4096), (150, 3)])
+def test_decontamination(spark, block_nodes, piece):
     rng = random.Random(2)
     vocab = ["a", "B", "é", "c3", "dd"]
     say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(1, say(20)), (2, "b a"), (10, say(13)), (3, None), (4, ""), (5, "!!"), (None, "a a a"), (2, "b a")]
     texts = [*AWKWARD, *(say(rng.randrange(60)) for _ in range(40)), "x, " + items[0][1].replace(" ", "--") + " y", items[2][1].upper()]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.decontaminate(docs_frame(spark, texts), bench, block_chars=block_chars).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs_frame(spark, texts), bench, block_nodes=block_nodes, piece=piece).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         n, hit, found = brute_contamination(t, items)
@@ -103,6 +103,36 @@ def test_decontamination(spark, block_chars):
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(texts)
 
 
+def test_more_words_than_code_points():
+    """A kernel with over 1,114,111 distinct words; the last one is found."""
+    words = [f"w{i}" for i in range(1_200_000)]
+    auto, symbols = decontaminate.build([(1, " ".join(words))], 1)
+    assert len(set(symbols.values())) == len(words)
+    assert decontaminate.scan("x w1199999 W0 y w1200000", auto, symbols) == (5, [(1, 3)], {0})
+
+
+def test_a_block_is_within_memory():
+    """A full block is built in a process of its own; its growth is measured."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from twinweave.llm import decontaminate as d
+rng = random.Random(1)
+items, nodes = [], 0
+while nodes < d.BLOCK_NODES:
+    w = [f"word{rng.randrange(300_000)}" for _ in range(500)]
+    items.append((len(items), " ".join(w)))
+    nodes += (len(w) - 12) * 13
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+auto, number = d.build(items)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert used < 300 << 10  # KiB
+
+
 # --- 3 WARC -------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path, monkeypatch):

@@ -1,20 +1,26 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Benchmark items and documents are normalised to words (``common.alnum_words``).
-Each word of the benchmark's vocabulary is one symbol of the automaton's
-alphabet, any other word is a symbol that no pattern has; so one pass over a
-document's words finds every occurrence of every window, and a match's position
-is a word number, which maps to the original text's characters.
-
-Items are read by the driver in blocks of bounded size (``BLOCK_CHARS`` of
-text, proven by a count first).  Usually there is one block; a larger benchmark
-adds a pass per block to the same stage, each going on from the hits of the one
-before, without a shuffle.
+Each word of the benchmark's vocabulary is a number, written as three symbols of
+128 (each place has symbols of its own, so matches begin at words, and no node of
+the automaton has many children); any other word is three symbols that no
+pattern has.  So one pass over a document's words finds every occurrence of
+every window, and a match's position is a word number, which maps to the
+original text's characters.
+
+Memory.  An automaton for windows of at most about ``BLOCK_NODES`` words (up to
+three nodes of some 60 bytes each) is held by a Python worker, and only one at a time.  A benchmark whose
+windows fit makes one block, whose results are made in the pass that scans.  A
+larger one is cut into pieces of ``PIECE`` windows that are dealt to blocks; each block is
+a pass of its own over the rows, which leaves only the hits, and releases its
+items before the next; then the hits of a row are put together.  Results are the
+same.
 
 Defined cases: a null or word-less text has no words and is not contaminated; an
 item without words has no windows; items with a null id count as hits but are
-not named; repeated items count once; every input row gives one row; columns
-not named are ignored unless ``keep`` asks for them.
+not named; repeated items count once; a text of any length is scanned whole;
+every input row, repeated or not, gives one row; columns not named are ignored
+unless ``keep`` asks for them (a kept column must not have the name of a result).
 """
 
 from __future__ import annotations
@@ -26,13 +32,17 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, ascii_lower, written
 
 WINDOW = 13
-BLOCK_CHARS = 8 << 20
+BLOCK_NODES = 500_000
+PIECE = 4096
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: The automata of the last two blocks stay in a Python worker from task to task.
+_RUNS = "array<struct<a: int, b: int, start: int, end: int>>"
+_RESULTS = ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, "
+            "hit_spans array<struct<start: int, end: int>>")
+#: The automaton in use stays in a Python worker from task to task.
 _built: dict[str, tuple] = {}
 
 
@@ -43,140 +53,177 @@ def windows(words: list, size: int = WINDOW) -> list[tuple]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
+def _symbols(n: int) -> str:
+    """Three symbols for the n-th word, the first place's symbols first; 2,097,152 words have one."""
+    return chr(1 + (n >> 14)) + chr(129 + (n >> 7 & 127)) + chr(257 + (n & 127))
+
+
 def build(items: list[tuple], size: int = WINDOW):
-    """(automaton, symbol of each known word); a match yields (length, item numbers)."""
+    """(automaton, symbols of each known word); a match yields (words, item numbers)."""
     import ahocorasick
 
-    symbol: dict[bytes, str] = {}
-    owners: dict[str, set[int]] = {}
+    symbols: dict[bytes, str] = {}
+    owners: dict[str, list[int]] = {}
     for n, (_, text) in enumerate(items):
-        for w in windows(alnum_words(text or ""), size):
-            key = "".join(symbol.setdefault(x, _symbol(len(symbol))) for x in w)
-            owners.setdefault(key, set()).add(n)
+        for w in windows([symbols.setdefault(x, _symbols(len(symbols))) for x in alnum_words(text or "")], size):
+            who = owners.setdefault("".join(w), [])
+            if not who or who[-1] != n:
+                who.append(n)
     auto = ahocorasick.Automaton()
-    for key, who in owners.items():
-        auto.add_word(key, (len(key), tuple(who)))
-    if owners:
+    while owners:
+        key, who = owners.popitem()
+        auto.add_word(key, (len(key) // 3, tuple(who)))
+    if len(auto):
         auto.make_automaton()
-    return (auto if owners else None), symbol
+        return auto, symbols
+    return None, symbols
 
 
 def _kept(key: str, items: list[tuple], size: int):
     if key not in _built:
-        while len(_built) >= 2:
-            _built.pop(next(iter(_built)))
+        _built.clear()
         _built[key] = build(items, size)
     return _built[key]
 
 
-def _symbol(n: int) -> str:
-    """Code points from 1, without the surrogates; 0 stands for any other word."""
-    n += 1
-    return chr(n if n < 0xD800 else n + 0x800)
-
-
-def scan(text: str | None, auto, symbol) -> tuple[int, list[tuple[int, int]], set[int]]:
+def scan(text: str | None, auto, symbols) -> tuple[int, list[tuple[int, int]], set[int]]:
     """(words, merged runs of hit words as [start, end), numbers of items found)."""
     words = alnum_words(text or "")
     if auto is None or not words:
         return len(words), [], set()
-    get = symbol.get
-    coded = "".join([get(w, "\0") for w in words])
+    get = symbols.get
     runs: list[tuple[int, int]] = []
     found: set[int] = set()
-    for end, (n, who) in auto.iter(coded):
+    for last, (n, who) in auto.iter("".join([get(w, "\0\0\0") for w in words])):
         found.update(who)
-        runs.append((end + 1 - n, end + 1))
+        end = last // 3 + 1
+        runs.append((end - n, end))
     return len(words), merged(runs), found
 
 
-def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+def merged(runs: list[tuple]) -> list[tuple]:
+    """Runs that touch as one; what follows a run's ends is taken from the runs that have them."""
+    out: list[tuple] = []
+    for r in sorted(runs):
+        if out and r[0] <= out[-1][1]:
+            if r[1] > out[-1][1]:
+                out[-1] = (out[-1][0], r[1], *out[-1][2:-1], *r[3:])
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append(r)
+    return out
 
 
-def _spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
-    """Runs of words as code-point spans of the original text."""
+def _spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs of words with their code-point spans of the original text."""
     at = [m.span() for m in _WORD.finditer(text)]
-    return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
+    return [(a, b, at[a][0], at[b - 1][1]) for a, b in runs]
+
+
+def _arrow(columns: list, names: list, counts: list, runs: list, items: list):
+    """A batch of results, from merged runs and sorted item names."""
+    import pyarrow as pa
+
+    hit = [sum(r[1] - r[0] for r in x) for x in runs]
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.RecordBatch.from_arrays([
+        *columns, pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+        pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, counts)], pa.bool_()), pa.array(items, pa.list_(pa.string())),
+        pa.array([[{"start": r[2], "end": r[3]} for r in x] for x in runs], spans)],
+        names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans"])
+
+
+def _scanned(bench, key: str, size: int, batches):
+    """Batches whose last column is text: (other columns, words, runs with spans, item names) of up to 1024 rows at once."""
+    items = bench.value
+    auto, symbols = _kept(key, items, size)
+    names = [i for i, _ in items]
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            counts, all_runs, all_items = [], [], []
+            for text in part.column(part.num_columns - 1).to_pylist():
+                n, runs, found = scan(text, auto, symbols)
+                counts.append(n)
+                all_runs.append(_spans(text, runs) if runs else [])
+                all_items.append(sorted({names[x] for x in found} - {None}))
+            yield part.columns[:-1], counts, all_runs, all_items
+
+
+def _whole(bench, key: str, n_keep: int, size: int):
+    """Results of the rows, where all items are one block."""
 
+    def run(batches):
+        for columns, counts, runs, items in _scanned(bench, key, size, batches):
+            yield _arrow(columns, [f"k{i}" for i in range(n_keep)], counts, runs, items)
 
-_HITS = "n_words long, runs array<struct<a: int, b: int>>, items array<string>"
+    return run
 
 
-def _pass(bench, key: str, first: bool, last: bool, n_keep: int, size: int):
-    """One block of items over the rows; the last pass yields the results."""
+def _hits(bench, key: str, first: bool, size: int):
+    """One block's hits by row; the first block has all rows."""
 
     def run(batches):
         import pyarrow as pa
 
-        items = bench.value
-        auto, symbol = _kept(key, items, size)
-        names = [None if i is None else str(i) for i, _ in items]
-        runs_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                texts = part.column(n_keep).to_pylist()
-                cols = [part.column(k) for k in range(n_keep)]
-                counts, all_runs, all_items = [], [], []
-                old = None if first else (part.column(n_keep + 2).to_pylist(), part.column(n_keep + 3).to_pylist())
-                for k, text in enumerate(texts):
-                    n, runs, found = scan(text, auto, symbol)
-                    who = {names[x] for x in found} - {None}
-                    if old:
-                        runs = merged(runs + [(r["a"], r["b"]) for r in old[0][k]])
-                        who |= set(old[1][k])
-                    counts.append(n)
-                    all_runs.append(runs)
-                    all_items.append(sorted(who))
-                n_words = pa.array(counts, pa.int64())
-                if not last:
-                    yield pa.RecordBatch.from_arrays([
-                        *cols, part.column(n_keep), n_words,
-                        pa.array([[{"a": a, "b": e} for a, e in r] for r in all_runs], runs_type),
-                        pa.array(all_items, pa.list_(pa.string()))],
-                        names=[*(f"k{i}" for i in range(n_keep)), "text", "n_words", "runs", "items"])
-                    continue
-                hit = [sum(e - a for a, e in r) for r in all_runs]
-                yield pa.RecordBatch.from_arrays([
-                    *cols, n_words, pa.array(hit, pa.int64()),
-                    pa.array([len(x) for x in all_items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in all_items], pa.string()),
-                    pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, counts)], pa.bool_()),
-                    pa.array(all_items, pa.list_(pa.string())),
-                    pa.array([_spans(t, r) if r else [] for t, r in zip(texts, all_runs)],
-                             pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    names=[*(f"k{i}" for i in range(n_keep)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans"])
+        runs_type = pa.list_(pa.struct([(n, pa.int32()) for n in ("a", "b", "start", "end")]))
+        for columns, counts, runs, items in _scanned(bench, key, size, batches):
+            some = [k for k in range(len(counts)) if first or runs[k]]
+            yield pa.RecordBatch.from_arrays([
+                columns[0].take(pa.array(some, pa.int64())), pa.array([counts[k] for k in some], pa.int64()),
+                pa.array([[dict(zip(("a", "b", "start", "end"), r)) for r in runs[k]] for k in some], runs_type),
+                pa.array([items[k] for k in some], pa.list_(pa.string()))], names=["row", "n_words", "runs", "items"])
 
     return run
 
 
+def _together(batches):
+    """``row, n_words`` and the lists of runs and items of all blocks as results."""
+    for b in batches:
+        d = b.to_pydict()
+        yield _arrow([b.column(0)], ["row"], d["n_words"], [merged([(r["a"], r["b"], r["start"], r["end"]) for r in x]) for x in d["runs"]],
+                     [sorted(set(x)) for x in d["items"]])
+
+
+def _pieces(benchmark: DataFrame, item_id: str, item_text: str, size: int, piece: int) -> DataFrame:
+    """``i, t, nodes``: distinct runs of ``piece`` windows of each item, with the nodes that they need at most."""
+    words = F.filter(F.split(ascii_lower(F.col(item_text).cast("string")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), words.alias("w")).where(F.size("w") > 0).distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)), F.lit(piece))
+    cut = items.select("i", "w", F.explode(starts).alias("at")).select("i", F.slice("w", F.col("at"), piece + size - 1).alias("w"))
+    nodes = F.greatest(F.size("w") - size + 1, F.lit(1)) * F.least(F.size("w"), F.lit(size))
+    return cut.select("i", F.array_join("w", " ").alias("t"), nodes.cast("long").alias("nodes"))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                  block_chars: int = BLOCK_CHARS) -> DataFrame:
+                  block_nodes: int = BLOCK_NODES, piece: int = PIECE) -> DataFrame:
     """The ``keep`` columns of each document with ``n_words, n_hit, n_items,
     items_sha256, contaminated`` (a twentieth of its words or more are hit),
     ``items`` (ids found) and ``hit_spans`` (characters of the original text)."""
     spark = documents.sparkSession
-    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
-    size = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_chars))
-    n_keep = len(keep)
-    df = documents.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
+    bench = _pieces(benchmark, item_id, item_text, window, piece)
+    total = bench.agg(F.sum("nodes")).first()[0] or 0
     keep_schema = [f"k{n} {documents.schema[c].dataType.simpleString()}" for n, c in enumerate(keep)]
-    for n in range(n_blocks):
-        block = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == n) if n_blocks > 1 else bench
-        items = sorted(((r.i, r.t) for r in block.collect()), key=str)
-        shared = spark.sparkContext.broadcast(items)
-        last = n == n_blocks - 1
-        schema = ", ".join([*keep_schema, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_spans array<struct<start: int, end: int>>"
-                            if last else "text string, " + _HITS])
-        df = df.mapInArrow(_pass(shared, uuid.uuid4().hex, n == 0, last, n_keep, window), schema)
-    return df.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)),
-                     "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans")
+    df = documents.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
+
+    def shared(rows: DataFrame):
+        return spark.sparkContext.broadcast(sorted(((r.i, r.t) for r in rows.select("i", "t").collect()), key=str))
+
+    if total <= block_nodes:
+        found = df.mapInArrow(_whole(shared(bench), uuid.uuid4().hex, len(keep), window), ", ".join([*keep_schema, _RESULTS]))
+    else:
+        # dealt by a hash, so twice as many blocks as needed if all were equally full
+        bench, n_blocks = written(bench, "benchmark"), -(-2 * total // block_nodes)
+        df = written(df.withColumn("row", F.monotonically_increasing_id()), "rows")
+        hits = None
+        for n in range(n_blocks):
+            items = shared(bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == n))
+            one = written(df.select("row", "text").mapInArrow(_hits(items, uuid.uuid4().hex, n == 0, window),
+                                                              f"row long, n_words long, runs {_RUNS}, items array<string>"), "hits")
+            items.destroy()
+            hits = one if hits is None else hits.union(one)
+        lists = hits.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+        found = df.drop("text").join(lists.mapInArrow(_together, f"row long, {_RESULTS}"), "row")
+    return found.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)),
+                        "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans")
