@@ -8,7 +8,9 @@ disk.
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,35 +18,50 @@ from pyspark.sql import functions as F
 from ..functions.paths import category, file_type, is_boilerplate, is_hidden
 
 MEMBERS = "project_id string, path string, content binary"
-#: Largest member that is read; larger ones are listed with null content.
-MAX_MEMBER = 64 << 20
+#: What reading a damaged, encrypted or unknown member raises.
+DAMAGED = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, NotImplementedError, RuntimeError, EOFError, OSError)
+#: Bytes of members that are handed on at once; a larger member goes alone.
+BATCH = 16 << 20
 
 
-def members(data: bytes) -> list[tuple[str, bytes | None]]:
-    """(path, content) of an archive's files; [] if it is not an archive.  Paths
-    that would leave the archive's root are skipped."""
+def members(data: bytes):
+    """(path, content) of an archive's files, one after the other; none if it is
+    not an archive.  A member that cannot be read has null content and the others
+    are read all the same.  Paths that would leave the archive's root are skipped."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            out = []
-            for info in z.infolist():
-                path = info.filename.replace("\\", "/").lstrip("/")
-                if not info.is_dir() and ".." not in path.split("/"):
-                    out.append((path, z.read(info) if info.file_size <= MAX_MEMBER else None))
-            return out
-    except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
-        return []
+        archive = zipfile.ZipFile(io.BytesIO(data))
+    except DAMAGED:
+        return
+    with archive:
+        for info in archive.infolist():
+            path = info.filename.replace("\\", "/").lstrip("/")
+            if not info.is_dir() and ".." not in path.split("/"):
+                try:
+                    content = archive.read(info)
+                except DAMAGED:
+                    content = None
+                yield path, content
 
 
 def _unzip(batches):
     import pyarrow as pa
 
+    def batch(project, found):
+        paths, contents = zip(*found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([project] * len(paths), pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["project_id", "path", "content"])
+
     for b in batches:
-        for project, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = members(data or b"")
-            if found:
-                paths, contents = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([project] * len(paths), pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["project_id", "path", "content"])
+        for k in range(b.num_rows):
+            project, held, size = b.column(0)[k].as_py(), [], 0
+            for member in members(b.column(1)[k].as_py() or b""):
+                held.append(member)
+                size += len(member[1] or b"")
+                if size >= BATCH:
+                    yield batch(project, held)
+                    held, size = [], 0
+            if held:
+                yield batch(project, held)
 
 
 def read_text(content):
@@ -78,7 +95,7 @@ def _read_files(batches):
         for path, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             store, place = fs.FileSystem.from_uri(uri)
             with store.open_input_file(place) as f:
-                data = f.read() if f.size() <= MAX_MEMBER else None
+                data = f.read()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
 
 

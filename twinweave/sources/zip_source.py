@@ -34,8 +34,8 @@ class _Reader(DataSourceReader):
         project = os.path.basename(partition.value).removesuffix(".zip")
         for path, content in members(data):
             kind = type_of(path)
-            if kind and content is not None:
-                yield project, path, kind, content.decode("utf-8", "replace")
+            if kind:
+                yield project, path, kind, None if content is None else content.decode("utf-8", "replace")
 
 
 class ZipProject(DataSource):
