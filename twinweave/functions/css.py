@@ -180,9 +180,13 @@ def normalize_color(value: Column) -> Column:
 
 
 def normalize_number(value: Column) -> Column:
-    """A whole number loses its decimal places, with or without a unit (10.0px, 10px)."""
-    whole = r"^(-?[0-9]+)\.0+([a-z%]*)$"
-    return F.when(value.rlike(whole), F.regexp_replace(value, whole, "$1$2")).otherwise(value)
+    """A number, with or without a unit, in its shortest form: 10.0px, +10px and 10px
+    are one, and so are .5em, 0.50em and 0.5em.  Anything else is trimmed and small."""
+    v = F.lower(F.trim(value))
+    number = r"^([+-]?[0-9]*\.?[0-9]+)([a-z%]*)$"
+    n = F.nullif(F.regexp_extract(v, number, 1), F.lit("")).cast("double")
+    whole = (n == F.floor(n)) & (F.abs(n) < 1e15)
+    return F.when(n.isNull(), v).otherwise(F.concat(F.when(whole, n.cast("bigint").cast("string")).otherwise(float_text(n)), F.regexp_extract(v, number, 2)))
 
 
 def normalize_keyframe_value(value: Column) -> Column:

@@ -97,6 +97,16 @@ def _count_parameters(toks, pairs, lo: int, hi: int) -> int:
     return n + any_token
 
 
+#: Words that begin a declaration of variables.
+VARIABLES = ("var", "let", "const")
+
+
+def is_content(kind: str) -> bool:
+    """True for the node types that are content of a file when they stand at its
+    top: functions, classes, variables, imports, exports and JSX."""
+    return kind.endswith(("_declaration", "_function", "_expression")) and kind != "call_expression" or kind.startswith(("import_", "export_", "jsx_"))
+
+
 class Outline:
     """Result of reading one file."""
 
@@ -180,7 +190,7 @@ class Outline:
             elif text == "(" and (arrow := self._arrow_from(i)):
                 self._function(i, "arrow_function", self._assigned_name(i), arrow[0], arrow[1], node, waiting)
             elif text == "<" and self._jsx_follows(i):
-                self._add(node, "jsx_element", self._word(i + 1))
+                self._add(node, "jsx_fragment" if self._is(i + 1, ">") else "jsx_element", self._word(i + 1))
             i += 1
 
     def _jsx_follows(self, i: int) -> bool:
@@ -222,6 +232,8 @@ class Outline:
             return self._import(i, node)
         elif text == "export":
             self._export(i, node)
+        elif text in VARIABLES and not self._is(i - 1, "("):
+            self._add(node, "variable_declaration", None)
         elif text in FLOW_WORDS:
             at = i + 1 + (self._word(i + 1) == "await")
             if self._is(at, "("):

@@ -3,6 +3,7 @@ functions where it has not (the Ratcliff-Obershelp ratio)."""
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column
@@ -20,7 +21,8 @@ VERDICTS = (
 
 def ratio(a: str | None, b: str | None) -> float:
     """Ratcliff-Obershelp ratio; null counts as the empty string."""
-    return SequenceMatcher(None, a or "", b or "").ratio()
+    a, b = a or "", b or ""
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -40,6 +42,14 @@ def ratio_possible(a: Column, b: Column, threshold: float) -> Column:
     return 2.0 * F.least(x, y) >= threshold * (x + y)
 
 
+def length_band(text: Column, threshold: float) -> Column:
+    """Number of a band of lengths: texts whose ratio may reach the threshold are
+    in the same or in neighbouring bands (the shorter one is at least
+    threshold / (2 - threshold) of the longer); empty texts have one of their own."""
+    step = math.log((2 - threshold) / threshold)
+    return F.coalesce(F.floor(F.log(F.nullif(F.length(text), F.lit(0)).cast("double")) / step), F.lit(-10)).cast("int")
+
+
 def fuzzy_string(a: Column, b: Column, score: Column) -> Column:
     """Both empty 1, one empty 0, else the given ratio."""
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(score).cast("double")

@@ -9,11 +9,12 @@ counted once with all that is below it.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html import parse_style
+from .html import parse_html, parse_style
 from .similarity import ratio
 
 ELEMENT = T.StructType([
@@ -176,3 +177,33 @@ def tree_elements(ignore: tuple[str, ...] = ()):
             for x, y in zip(left, right)])
 
     return compare
+
+
+@lru_cache(256)
+def parsed_html(text: str | None) -> list:
+    """The tree of a text; the last ones are kept for texts that stand in several pairs of a task."""
+    return parse_html(text)
+
+
+def compare_texts(ignore: tuple[str, ...] = ()):
+    """For ``mapInArrow`` over (key, left text, right text): the key with each
+    element of the comparison.  Texts are parsed and compared in one function, so
+    that trees never leave it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                owner, rows = [], []
+                for k, (x, y) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    found = compare_trees(parsed_html(x), parsed_html(y), ignore)
+                    owner += [k] * len(found)
+                    rows += found
+                kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(owner, pa.int32())), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds))],
+                    names=["key", "kind", "tag", "score", "attr", "text"])
+
+    return run

@@ -26,10 +26,16 @@ def class_lines(files: DataFrame, keys: list[str], content: str = "content") ->
     # text up to each attribute tells its line; the pieces between attributes have the newlines
     pieces = F.split(F.col(content), _MARKUP.replace("([^\"]+)", "[^\"]+"), -1)
     found = F.regexp_extract_all(F.col(content), F.lit(_MARKUP), F.lit(0))
-    rows = files.select(*keys, F.posexplode(F.arrays_zip(found.alias("f"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))).alias("n", "x"), found.alias("all"), pieces.alias("pieces"))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    before = F.array_join(F.concat(F.slice("pieces", F.lit(1), F.col("n") + 1), F.slice("all", F.lit(1), F.col("n"))), "")
-    rows = rows.select(*keys, (newlines(before) + 1).alias("line"), F.explode(markup_classes(F.col("x.f"))).alias("class"))
+    steps = files.select(*keys, found.alias("found"), pieces.alias("pieces"))
+    # newlines up to each attribute: a running sum over the row, before rows are made of it
+    steps = steps.select(*keys, "found", F.transform(F.arrays_zip("found", F.slice("pieces", F.lit(1), F.size("found")).alias("piece")), lambda x: F.struct(
+        newlines(x["piece"]).alias("before"), newlines(x["found"]).alias("inside"))).alias("steps"))
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("lines"))
+    lines = F.aggregate("steps", start, lambda a, s: F.struct(
+        (a["line"] + s["before"] + s["inside"]).alias("line"), F.concat(a["lines"], F.array(a["line"] + s["before"])).alias("lines")), lambda a: a["lines"])
+    rows = steps.select(*keys, F.explode(F.arrays_zip("found", lines.alias("line"))).alias("x"))
+    rows = rows.select(*keys, F.col("x.line").alias("line"), F.explode(markup_classes(F.col("x.found"))).alias("class"))
     return rows.groupBy(*keys, "class").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("line")).alias("lines"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, parts
 from ..functions.similarity import fuzzy_string, jaccard, ratio_udf
+from ..storage import written
 
 # Entries that every project has, section weights, metadata keys.
 BOILERPLATE_PACKAGES = ("react", "react-dom", "next")
@@ -137,18 +138,23 @@ def package_similarity(pairs: DataFrame, key: str = "pair_id", a: str = "origina
                        F.col("config_similarity").alias("config"), weight.alias("dependencies_weight"))
 
 
-def flatten_json(rows: DataFrame, keys: list[str], text: str, depth: int = 8) -> DataFrame:
-    """Keys with dotted path and text of each leaf; empty objects vanish, and below
-    ``depth`` levels an object counts as one leaf."""
+def flatten_json(rows: DataFrame, keys: list[str], text: str, levels: int = 6) -> DataFrame:
+    """Keys with dotted path and text of each leaf; empty objects vanish.
+
+    One plan takes ``levels`` levels; while some object is deeper, what is left is
+    written and goes through another."""
     now = rows.select(*keys, F.explode(object_map(F.col(text))).alias("path", "value"))
+    nested = F.coalesce(F.startswith("value", F.lit("{")), F.lit(False))
     done = None
-    for level in range(depth):
-        nested = F.startswith("value", F.lit("{")) if level + 1 < depth else F.lit(False)
-        leaves = now.where(~F.coalesce(nested, F.lit(False)))
-        done = leaves if done is None else done.unionByName(leaves)
-        now = now.where(F.coalesce(nested, F.lit(False))).select(*keys, "path", F.explode(object_map(F.col("value"))).alias("k", "value")).select(
-            *keys, F.concat_ws(".", "path", "k").alias("path"), "value")
-    return done
+    while True:
+        for _ in range(levels):
+            leaves = now.where(~nested)
+            done = leaves if done is None else done.unionByName(leaves)
+            now = now.where(nested).select(*keys, "path", F.explode(object_map(F.col("value"))).alias("k", "value")).select(
+                *keys, F.concat_ws(".", "path", "k").alias("path"), "value")
+        now = written(now, "nested")
+        if now.isEmpty():
+            return done
 
 
 def tsconfig_similarity(pairs: DataFrame, key: str = "pair_id", a: str = "original", b: str = "modified") -> DataFrame:

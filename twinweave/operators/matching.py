@@ -16,6 +16,7 @@ candidate below it neither matches nor uses up a file, so nothing is lost.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +25,13 @@ from pyspark.sql import types as T
 from ..functions import css as css_functions
 from ..functions import js as js_functions
 from ..functions import tree as tree_functions
-from ..functions.html import parse_html
 from ..functions.paths import basename, common_prefix, parent, parts
-from ..functions.similarity import ratio_possible, ratio_udf
+from ..functions.similarity import length_band, ratio_possible, ratio_udf
 from ..storage import written
 
 GROUP = ["pair_id", "file_type"]
 FUZZY, STRUCTURE, CONTEXT, CONTENT = 0.75, 0.5, 0.5, 0.6
 
-#: Top-level declarations that count as content of a script.
-_TOP = frozenset("function_declaration function_expression arrow_function class_declaration export_statement import_statement jsx_element".split())
 
 
 def exact_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -49,11 +47,21 @@ def remaining(files: DataFrame, matches: DataFrame, side: str) -> DataFrame:
     return files.join(used, [*GROUP, "path"], "left_anti")
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Pairs within (pair_id, file_type); columns of the sides are l and r structs."""
+def blocked_pairs(left: DataFrame, right: DataFrame, condition: Column | None = None, text: str | None = None, threshold: float | None = None) -> DataFrame:
+    """Pairs within (pair_id, file_type); columns of the sides are l and r structs.
+
+    With the name of a column and a threshold also within bands of its length,
+    which loses no pair whose ratio may reach the threshold; so the files of a
+    large project are dealt by length to several tasks.
+    """
     a = left.select(*GROUP, F.struct(*left.columns).alias("l"))
     b = right.select(*GROUP, F.struct(*right.columns).alias("r"))
-    pairs = a.join(b, GROUP)
+    keys = GROUP
+    if text is not None:
+        band = lambda side: length_band(F.coalesce(F.col(f"{side}.{text}"), F.lit("")), threshold)
+        a = a.withColumn("band", F.explode(F.array(*(band("l") + k for k in (-1, 0, 1)))))
+        b, keys = b.withColumn("band", band("r")), [*GROUP, "band"]
+    pairs = a.join(b, keys).select(*GROUP, "l", "r")
     return pairs if condition is None else pairs.where(condition)
 
 
@@ -99,7 +107,8 @@ def scored(pairs: DataFrame, score: Column) -> DataFrame:
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = FUZZY) -> DataFrame:
     a, b = basename(F.col("l.path")), basename(F.col("r.path"))
-    pairs = blocked_pairs(left.select(*GROUP, "path"), right.select(*GROUP, "path"), ratio_possible(a, b, threshold))
+    sides = (f.select(*GROUP, "path", basename(F.col("path")).alias("name")) for f in (left, right))
+    pairs = blocked_pairs(*sides, ratio_possible(a, b, threshold), "name", threshold)
     # names repeat across folders: the ratio is computed once per pair of names
     named = pairs.select(*GROUP, "l", "r", a.alias("a"), b.alias("b"))
     scores = named.select("a", "b").distinct().select("a", "b", ratio_udf("a", "b").alias("score"))
@@ -110,7 +119,7 @@ def content_candidates(left: DataFrame, right: DataFrame, threshold: float = CON
     a, b = F.coalesce(F.col("l.content"), F.lit("")), F.coalesce(F.col("r.content"), F.lit(""))
     css = F.col("file_type") == "css"
     return scored(blocked_pairs(left.where(css).select(*GROUP, "path", "content"), right.where(css).select(*GROUP, "path", "content"),
-                                ratio_possible(a, b, threshold)), ratio_udf(a, b))
+                                ratio_possible(a, b, threshold), "content", threshold), ratio_udf(a, b))
 
 
 def rule_count(content: Column) -> Column:
@@ -124,15 +133,21 @@ def size_gate(n1: Column, n2: Column) -> Column:
 
 
 def _html_score(a: str, b: str) -> float:
-    elements = tree_functions.compare_trees(parse_html(a), parse_html(b))
+    elements = tree_functions.compare_trees(tree_functions.parsed_html(a), tree_functions.parsed_html(b))
     return sum(e[2] for e in elements) / len(elements) if elements else 0.0
 
 
+@lru_cache(256)
+def _parsed_js(text: str) -> dict:
+    """A file is in as many candidate pairs as there are files to meet: the last outlines are kept."""
+    return js_functions.parse_js(text)
+
+
 def _script_score(a: str, b: str) -> float:
-    x, y = js_functions.parse_js(a), js_functions.parse_js(b)
+    x, y = _parsed_js(a), _parsed_js(b)
     if x["error"] or y["error"]:
         return 0.0
-    n1, n2 = (sum(n["parent"] == 0 and n["type"] in _TOP for n in o["nodes"]) for o in (x, y))
+    n1, n2 = (sum(n["parent"] == 0 and js_functions.is_content(n["type"]) for n in o["nodes"]) for o in (x, y))
     if n1 < 2 and n2 < 2 and not (n1 == 1 and n2 == 1):
         return 0.0
     return tree_functions.subtree_similarity(*([(n["parent"], n["type"], n["value"]) for n in o["nodes"]] for o in (x, y)))

@@ -116,7 +116,7 @@ def type_score(spark, sf_dir):
 
 
 @query(f"""WITH {_DERIVED_SQL}, s AS (SELECT pair_id, CASE WHEN page_id % 5 <> 0 THEN similarity ELSE 0 END AS s FROM rows
-  UNION ALL SELECT page_id % 7, hybrid_similarity FROM sims WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id % 7, hybrid_similarity FROM sims
   UNION ALL SELECT pair_id, s FROM (VALUES (0, 0.5::DOUBLE), (0, 0.5::DOUBLE), (0, 0.25::DOUBLE), (1, 1.0::DOUBLE), (1, 1.0::DOUBLE), (2, 0.125::DOUBLE)) AS c(pair_id, s)),
 t AS (SELECT pair_id, count(*) AS files, avg(s) AS overall_similarity FROM s GROUP BY pair_id) SELECT *, {_LEVEL_SQL.format('overall_similarity')} AS level FROM t""")
 def overall_score(spark, sf_dir):
@@ -194,17 +194,43 @@ def blocked_candidates(spark, sf_dir):
     return pairs.select(F.col("l.content").alias("original"), F.col("r.content").alias("modified"))
 
 
-@query()
+def _ratio_sql(pairs: str) -> str:
+    """CTEs of the Ratcliff-Obershelp ratio of the pairs (a, b) of a table: an
+    interval of both texts yields its longest common block (of equal ones the
+    first of a, then of b) and the intervals before and after it."""
+    return f"""blocks(a, b, alo, ahi, blo, bhi, k) AS (
+  SELECT DISTINCT a, b, CAST(0 AS BIGINT), length(a), CAST(0 AS BIGINT), length(b), CAST(0 AS BIGINT) FROM {pairs}
+  UNION ALL SELECT a, b, s.alo, s.ahi, s.blo, s.bhi, s.k FROM (
+    SELECT a, b, unnest([{{'alo': alo, 'ahi': -best.i, 'blo': blo, 'bhi': -best.j, 'k': best.k}}, {{'alo': best.k - best.i, 'ahi': ahi, 'blo': best.k - best.j, 'bhi': bhi, 'k': 0}}]) AS s
+    FROM (SELECT *, list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: {{
+        'k': len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n))), 'i': -i, 'j': -j}})))) AS best FROM blocks)
+    WHERE best.k > 0)),
+ratios AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(k) / (length(a) + length(b)) END AS score FROM blocks GROUP BY a, b)"""
+
+
+def _greedy_sql(threshold: float) -> str:
+    """Each left name in order takes the best right name that is still free."""
+    return f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT x.p_name AS a, y.p_name AS b FROM names x JOIN names y ON x.p_name < 'm' AND y.p_name >= 'm'),
+{_ratio_sql('pairs')},
+lefts AS (SELECT a, row_number() OVER (ORDER BY a) AS n, list({{'score': score, 'b': b}} ORDER BY score DESC, b) AS c FROM ratios WHERE score >= {threshold} GROUP BY a),
+walk(n, used, a, x) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS STRUCT(score DOUBLE, b VARCHAR))
+  UNION ALL SELECT n, CASE WHEN x IS NULL THEN used ELSE list_append(used, x.b) END, a, x
+  FROM (SELECT l.n, l.a, w.used, list_filter(l.c, lambda y: NOT list_contains(w.used, y.b))[1] AS x FROM walk w JOIN lefts l ON l.n = w.n + 1))
+SELECT 0 AS pair_id, 'css' AS file_type, 'parts/' || a AS original, 'parts/' || x.b AS modified, x.score AS score FROM walk WHERE x IS NOT NULL"""
+
+
+@query(_greedy_sql(0.4))
 def fuzzy_filename_match(spark, sf_dir):
     return matching.greedy(matching.fuzzy_candidates(*_part_names(spark, sf_dir), threshold=0.4), 0.4)
 
 
-@query()
+@query(_greedy_sql(0.4))
 def greedy_fold(spark, sf_dir):
     return matching.greedy_native(matching.fuzzy_candidates(*_part_names(spark, sf_dir), threshold=0.4), 0.4)
 
 
-@query()
+@query(_greedy_sql(0.3))
 def content_match(spark, sf_dir):
     return matching.greedy(matching.content_candidates(*_part_names(spark, sf_dir), threshold=0.3), 0.3)
 
@@ -263,10 +289,14 @@ _VERSIONS = """(VALUES (1, '^1.2.3', '1.2.3'), (2, '1.2.3', '1.2.4'), (3, '1.2.3
   (7, '1.x.4', '1.y.5'), (8, 'latest', 'next'), (9, '', ''), (10, '1.0', '1.1')) AS t(id, a, b)"""
 
 
-@query(f"""WITH v AS (SELECT id, regexp_replace(trim(a), '^[\\^~><= ]+', '') AS x, regexp_replace(trim(b), '^[\\^~><= ]+', '') AS y FROM {_VERSIONS}),
-n AS (SELECT *, list_transform(list_filter(string_split(x, '.'), lambda s: regexp_matches(s, '^[0-9]+$')), lambda s: CAST(s AS BIGINT)) AS p,
-  list_transform(list_filter(string_split(y, '.'), lambda s: regexp_matches(s, '^[0-9]+$')), lambda s: CAST(s AS BIGINT)) AS q FROM v)
-SELECT id, CAST(CASE WHEN x = y THEN 1.0 WHEN len(p) = len(q) AND len(p) >= 2 AND p[1:-2] = q[1:-2] AND abs(p[-1] - q[-1]) = 1 THEN 0.3 ELSE 0.0 END AS DOUBLE) AS score FROM n""")
+def _version_sql(a: str, b: str) -> str:
+    """Score of two version texts as an expression."""
+    x, y = (f"regexp_replace(trim({c}), '^[\\^~><= ]+', '')" for c in (a, b))
+    p, q = (f"list_transform(list_filter(string_split({v}, '.'), lambda s: regexp_matches(s, '^[0-9]+$')), lambda s: CAST(s AS BIGINT))" for v in (x, y))
+    return f"CAST(CASE WHEN {x} = {y} THEN 1.0 WHEN len({p}) = len({q}) AND len({p}) >= 2 AND ({p})[1:-2] = ({q})[1:-2] AND abs(({p})[-1] - ({q})[-1]) = 1 THEN 0.3 ELSE 0.0 END AS DOUBLE)"
+
+
+@query(f"SELECT id, {_version_sql('a', 'b')} AS score FROM {_VERSIONS}")
 def version_score(spark, sf_dir):
     return fixture(spark, _VERSIONS).select("id", jsonconfig.version_score(F.col("a"), F.col("b")).alias("score"))
 
@@ -277,9 +307,9 @@ _DEPENDENCIES = """(VALUES (1, 0, 'react', '18.0.0'), (1, 0, 'lodash', '4.0.0'),
 
 @query(f"""WITH d AS (SELECT coalesce(x.id, y.id) AS id, coalesce(x.name, y.name) AS name, x.version AS a, y.version AS b
   FROM (SELECT * FROM {_DEPENDENCIES} WHERE side = 0) x FULL JOIN (SELECT * FROM {_DEPENDENCIES} WHERE side = 1) y ON x.id = y.id AND x.name = y.name),
-s AS (SELECT *, regexp_replace(a, '^[\\^~><= ]+', '') AS p, regexp_replace(b, '^[\\^~><= ]+', '') AS q, name IN ('react', 'react-dom', 'next') AS plain FROM d),
+s AS (SELECT *, name IN ('react', 'react-dom', 'next') AS plain FROM d),
 g AS (SELECT id, coalesce(CAST(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND NOT plain) AS DOUBLE) / nullif(count(*) FILTER (NOT plain), 0), 1.0) AS keys,
-  avg(CASE WHEN p = q THEN 1.0::DOUBLE WHEN p = '1.2.3' AND q = '1.2.4' THEN 0.3 ELSE 0 END) FILTER (a IS NOT NULL AND b IS NOT NULL) AS versions FROM s GROUP BY id)
+  avg({_version_sql('a', 'b')}) FILTER (a IS NOT NULL AND b IS NOT NULL) AS versions FROM s GROUP BY id)
 SELECT id, CAST(CASE WHEN versions IS NULL THEN keys ELSE 0.3 * keys + 0.7 * versions END AS DOUBLE) AS similarity FROM g""")
 def dependency_similarity(spark, sf_dir):
     rows = fixture(spark, _DEPENDENCIES)
@@ -358,12 +388,14 @@ def config_extension_similarity(spark, sf_dir):
 
 # --- CSS ---------------------------------------------------------------------------------
 
-_CSS_VALUES = """(VALUES (1, ' #FFF; '), (2, '10px'), (3, '0'), (4, '0px'), (5, '1.50px'), (6, '1rem'), (7, 'RED'), (8, '1px 2px'), (9, '.5px'), (10, '#abcd'), (11, '10.0px'), (12, '2.00')) AS t(id, v)"""
+_CSS_VALUES = """(VALUES (1, ' #FFF; '), (2, '10px'), (3, '0'), (4, '0px'), (5, '1.50px'), (6, '1rem'), (7, 'RED'), (8, '1px 2px'), (9, '.5px'), (10, '#abcd'), (11, '10.0px'), (12, '2.00'), (13, '+5px'), (14, '-0.250EM'), (15, '.5'), (16, '-3.0%'), (17, '1.5.2px')) AS t(id, v)"""
 
 
 @query(f"""WITH a AS (SELECT id, regexp_replace(lower(trim(v)), ';+$', '') AS v, replace(lower(trim(v)), ' ', '') AS c FROM {_CSS_VALUES})
 SELECT id, CASE WHEN regexp_matches(v, '^#[0-9a-f]{{3}}$') THEN regexp_replace(v, '([0-9a-f])', '\\1\\1', 'g') WHEN regexp_matches(v, '^[0-9]*\\.?[0-9]+px$') THEN CAST(CAST(replace(v, 'px', '') AS DOUBLE) AS VARCHAR) ELSE v END AS value,
-  regexp_replace(CASE WHEN regexp_matches(c, '^#([0-9a-f]{{3}}|[0-9a-f]{{4}})$') THEN regexp_replace(c, '([0-9a-f])', '\\1\\1', 'g') ELSE c END, '^(-?[0-9]+)\\.0+([a-z%]*)$', '\\1\\2') AS keyframe_value FROM a""")
+  CASE WHEN regexp_matches(c, '^#([0-9a-f]{{3}}|[0-9a-f]{{4}})$') THEN regexp_replace(c, '([0-9a-f])', '\\1\\1', 'g') WHEN n IS NULL THEN c
+    WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR) || unit ELSE CAST(n AS VARCHAR) || unit END AS keyframe_value
+FROM (SELECT *, TRY_CAST(regexp_replace(c, '[a-z%]*$', '') AS DOUBLE) AS n, regexp_extract(c, '[a-z%]*$') AS unit FROM a)""")
 def css_value_normalize(spark, sf_dir):
     v = F.col("v")
     return fixture(spark, _CSS_VALUES).select("id", css_functions.normalize_value(v).alias("value"), css_functions.normalize_keyframe_value(v).alias("keyframe_value"))
@@ -386,7 +418,18 @@ _SHEETS = """(VALUES (1, '.foo { color: #fff; }', '.foo { color: #ffffff; }', 1.
   (11, ':root { --c: red } .a { color: var(--c) }', ':root { --c: red } .a { color: red }', 1.0, 2, 0, 0, 0)) AS t(id, a, b, s, m, d, x, e)"""
 
 
-@query(f"SELECT id, round(CAST(s AS DOUBLE), 9) AS css_similarity, CAST(m AS BIGINT) AS matching, CAST(d AS BIGINT) AS different, CAST(x AS BIGINT) AS missing, CAST(e AS BIGINT) AS extra FROM {_SHEETS}")
+@query(f"""WITH t AS (SELECT id, side, regexp_replace(regexp_replace(regexp_replace(css, '/[*].*?[*]/', '', 'g'), '@media[^{{]*[{{]([^{{}}]*[{{][^{{}}]*[}}])*\\s*[}}]', '', 'g'), '@import[^;]*;', '', 'g') AS css
+  FROM (SELECT id, 0 AS side, a AS css FROM {_SHEETS} UNION ALL SELECT id, 1, b FROM {_SHEETS})),
+r AS (SELECT id, side, lower(trim(split_part(x, '{{', 1))) AS sel, split_part(rtrim(x, '}}'), '{{', 2) AS body FROM (SELECT id, side, unnest(regexp_extract_all(css, '[^{{}}]+[{{][^{{}}]*[}}]')) AS x FROM t)),
+d AS (SELECT id, side, sel, trim(split_part(p, ':', 1)) AS prop, trim(split_part(p, ':', 2)) AS v FROM (SELECT id, side, sel, unnest(string_split(body, ';')) AS p FROM r) WHERE trim(p) <> ''),
+e AS (SELECT d.id, d.side, d.sel, d.prop, coalesce(root.v, d.v) AS v FROM d LEFT JOIN d root ON root.id = d.id AND root.side = d.side AND root.sel = ':root' AND d.v = 'var(' || root.prop || ')'),
+n AS (SELECT id, side, sel, prop, CASE WHEN regexp_matches(v, '^#[0-9a-f]{{3}}$') THEN regexp_replace(v, '([0-9a-f])', '\\1\\1', 'g') ELSE v END AS v FROM e),
+m AS (SELECT coalesce(x.id, y.id) AS id, coalesce(x.sel, y.sel) AS sel, count(x.v) AS l, count(y.v) AS r, CAST(count(*) FILTER (x.v = y.v) AS DOUBLE) / count(*) AS s
+  FROM (SELECT * FROM n WHERE side = 0) x FULL JOIN (SELECT * FROM n WHERE side = 1) y ON x.id = y.id AND x.sel = y.sel AND x.prop = y.prop GROUP BY 1, 2),
+c AS (SELECT id, sum(CASE WHEN l = 0 OR r = 0 OR s < 0.3 THEN 0.0::DOUBLE WHEN s >= 0.9 THEN 1.0 ELSE s END) / count(*) AS similarity, count(*) FILTER (l > 0 AND r > 0 AND s >= 0.9) AS matching,
+  count(*) FILTER (l > 0 AND r > 0 AND s < 0.9) AS different, count(*) FILTER (r = 0) AS missing, count(*) FILTER (l = 0) AS extra FROM m GROUP BY id)
+SELECT t.id, round(coalesce(similarity, 1.0), 9) AS css_similarity, coalesce(matching, 0) AS matching, coalesce(different, 0) AS different, coalesce(missing, 0) AS missing, coalesce(extra, 0) AS extra
+FROM {_SHEETS} LEFT JOIN c ON c.id = t.id""")
 def css_rule_diff(spark, sf_dir):
     rows = fixture(spark, _SHEETS).select("id", "a", "b")
     return css.compare_stylesheets(rows, "id", "a", "b").withColumn("css_similarity", F.round("css_similarity", 9))
@@ -396,14 +439,25 @@ _KEYFRAMES = """(VALUES (1, '@keyframes k { from { left: 0 } to { left: 10.0px }
   (2, '@keyframes k { from { left: 0 } } @keyframes z { to { a: b } }', '@keyframes k { from { left: 1px } } @keyframes y { to { a: b } }', 1, 1, 1, 1)) AS t(id, a, b, m, d, x, e)"""
 
 
-@query(f"SELECT id, CAST(m AS BIGINT) AS matching_keyframes, CAST(d AS BIGINT) AS different_keyframes, CAST(x AS BIGINT) AS missing_keyframes, CAST(e AS BIGINT) AS extra_keyframes FROM {_KEYFRAMES}")
+@query(f"""WITH f AS (SELECT id, side, regexp_extract(x, '@keyframes\\s+([^\\s{{]+)', 1) AS name, regexp_extract_all(substr(x, strpos(x, '{{') + 1), '[^{{}}]+[{{][^{{}}]*[}}]') AS steps
+  FROM (SELECT id, side, unnest(regexp_extract_all(css, '@keyframes[^{{]*[{{](?:[^{{}}]*[{{][^{{}}]*[}}])*\\s*[}}]')) AS x
+    FROM (SELECT id, 0 AS side, a AS css FROM {_KEYFRAMES} UNION ALL SELECT id, 1, b FROM {_KEYFRAMES}))),
+p AS (SELECT id, side, name, trim(split_part(s, '{{', 1)) AS step, trim(split_part(split_part(rtrim(s, '}} '), '{{', 2), ':', 1)) AS prop,
+    trim(split_part(split_part(rtrim(s, '}} '), '{{', 2), ':', 2)) AS v FROM (SELECT id, side, name, unnest(steps) AS s FROM f)),
+v AS (SELECT *, coalesce(CAST(TRY_CAST(regexp_replace(v, '[a-z%]+$', '') AS DOUBLE) AS VARCHAR) || regexp_extract(v, '[a-z%]*$'), v) AS value FROM p),
+m AS (SELECT coalesce(x.id, y.id) AS id, coalesce(x.name, y.name) AS name, bool_or(x.id IS NOT NULL) AS l, bool_or(y.id IS NOT NULL) AS r, bool_or(x.value IS DISTINCT FROM y.value) AS differs
+  FROM (SELECT * FROM v WHERE side = 0) x FULL JOIN (SELECT * FROM v WHERE side = 1) y ON x.id = y.id AND x.name = y.name AND x.step = y.step AND x.prop = y.prop GROUP BY 1, 2)
+SELECT id, count(*) FILTER (l AND r) AS matching_keyframes, count(*) FILTER (l AND r AND differs) AS different_keyframes, count(*) FILTER (NOT r) AS missing_keyframes,
+  count(*) FILTER (NOT l) AS extra_keyframes FROM m GROUP BY id""")
 def css_keyframes_diff(spark, sf_dir):
     rows = fixture(spark, _KEYFRAMES)
     sides = [css.declaration_table(rows.select("id", F.col(c).alias("content")), "id") for c in ("a", "b")]
     return css.keyframes_diff(*sides, ["id"])
 
 
-@query()
+@query("""WITH r AS (SELECT page_id, unnest(regexp_extract_all(css, '[^{}]+[{][^{}]*[}]')) AS x FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<style[^>]*>(.*?)</style>', 1)) AS css FROM pages)),
+d AS (SELECT page_id, trim(split_part(x, '{', 1)) AS selector, unnest(string_split(split_part(rtrim(x, '}'), '{', 2), ';')) AS p FROM r)
+SELECT DISTINCT page_id, 'rule' AS scope, selector, trim(split_part(p, ':', 1)) AS prop, trim(split_part(p, ':', 2)) AS value, p LIKE '%!important%' AS important FROM d WHERE p LIKE '%:%'""")
 def css_parse(spark, sf_dir):
     sheets = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<style[^>]*>(.*?)</style>"), F.lit(1))).alias("content"))
     return css.declaration_table(sheets, "page_id").select("page_id", "scope", "selector", "prop", "value", "important")
@@ -424,7 +478,10 @@ def html_tree_compare(spark, sf_dir):
     return report.tree_scores(report.tree_comparison(pairs, "page_id", "html", "html2"), "page_id")
 
 
-@query()
+@query("""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS code FROM pages),
+p AS (SELECT page_id, len(regexp_extract_all(code, '"[^"]*"')) AS strings, regexp_replace(code, '"[^"]*"', '""', 'g') AS code FROM c),
+n AS (SELECT page_id, strings, regexp_extract_all(code, '[A-Za-z_$][A-Za-z_$0-9]*') AS names, len(regexp_extract_all(code, '\\b[0-9]+')) AS numbers, len(regexp_extract_all(code, '[A-Za-z_$][A-Za-z_$0-9]*[(]')) AS calls FROM p)
+SELECT page_id, CAST(1 + strings + numbers + calls + len(names) AS INTEGER) AS nodes, CAST(len(list_filter(names, lambda x: x = 'function')) AS INTEGER) AS functions, CAST(NULL AS VARCHAR) AS error FROM n""")
 def page_scripts(spark, sf_dir):
     code = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("c"))
     return code.select("page_id", js_outline("c").alias("o")).select("page_id", F.size("o.nodes").alias("nodes"), F.size("o.functions").alias("functions"), "o.error")
@@ -432,10 +489,12 @@ def page_scripts(spark, sf_dir):
 
 @query()
 def text_similarity(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    a, b = items.select(F.col("item_id").alias("a"), F.col("text").alias("x")), items.select(F.col("item_id").alias("b"), F.col("text").alias("y"))
-    close = (F.col("b") == F.col("a") + 1) & ratio_possible(F.col("x"), F.col("y"), 0.1)
-    return a.join(b, close).select("a", "b", ratio_udf("x", "y").alias("score"))
+    """Pairs of benchmark texts with a ratio of 0.6 or more, each text against all others within the reach of its length."""
+    items = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("pair_id"), F.lit("text").alias("file_type"), "item_id", "text")
+    near = (F.col("l.item_id") < F.col("r.item_id")) & ratio_possible(F.col("l.text"), F.col("r.text"), 0.6)
+    pairs = matching.blocked_pairs(items, items, near, "text", 0.6).select("l.item_id", F.col("r.item_id").alias("other_id"), F.col("l.text").alias("x"), F.col("r.text").alias("y"))
+    parts = 2 * spark.sparkContext.defaultParallelism
+    return pairs.repartition(parts, "item_id", "other_id").select("item_id", "other_id", ratio_udf("x", "y").alias("score")).where("score >= 0.6")
 
 
 _NAMES = """(VALUES (1, 'f,g', 'f,h', 2, 1, 'if,for', 'if,if'), (2, '', '', 0, 0, '', ''), (3, 'f', '', 1, 0, 'while', ''), (4, 'a,b,c', 'c,b,a', 3, 3, 'if,for,while', 'for')) AS t(id, l, r, c1, c2, k1, k2)"""

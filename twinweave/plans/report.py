@@ -13,10 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import html_nodes
 from ..functions.js import config_json
 from ..functions.similarity import round2, round3, verdict
-from ..functions.tree import tree_elements
+from ..functions.tree import compare_texts
 from ..operators import classes, css, jsonconfig, jslogic, matching, scores
 from ..storage import written
 
@@ -52,8 +51,9 @@ def tree_comparison(pairs: DataFrame, key: str = "pair_key", a: str = "original_
     # execution would merge partitions; a stated number keeps all cores at work
     spark = pairs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    nodes = pairs.select(key, a, b).repartition(parts).select(key, html_nodes(a).alias("x"), html_nodes(b).alias("y"))
-    return nodes.select(key, tree_elements(ignore)("x", "y").alias("e")).select(key, F.explode("e").alias("e")).select(key, "e.*")
+    schema = f"`key` {pairs.schema[key].dataType.simpleString()}, kind string, tag string, score double, attr double, text double"
+    rows = pairs.select(F.col(key).alias("key"), a, b).repartition(parts).mapInArrow(compare_texts(ignore), schema)
+    return rows.select(F.col("key").alias(key), "kind", "tag", "score", "attr", "text")
 
 
 def tree_scores(elements: DataFrame, key: str = "pair_key") -> DataFrame:
@@ -75,7 +75,8 @@ def compare_projects(left: DataFrame, right: DataFrame, as_coded: bool = False,
         F.when(F.col("a.config").isNotNull() & F.col("b.config").isNotNull(), classes.config_similarity(F.col("a.config"), F.col("b.config"))).otherwise(
             F.when(F.col("a.config").isNull() & F.col("b.config").isNull(), 1.0).otherwise(0.0)).alias("config_similarity"))
     left, right = (keep(f.where("file_type <> 'tailwind_config'")) for f in (left, right))
-    matches = keep(matching.cascade(left, right, as_coded=as_coded))
+    # a file that could not be read (null) is like no other: it matches nothing and counts as unmatched
+    matches = keep(matching.cascade(*(f.where("content is not null") for f in (left, right)), as_coded=as_coded))
     unmatched = keep(matching.unmatched(left, right, matches))
     joined = keep(with_contents(matches, left, right))
 
@@ -134,13 +135,11 @@ def compact(reports: DataFrame) -> DataFrame:
     return reports.select("pair_id", get("overall_similarity").cast("double").alias("overall_similarity"), get("prediction").alias("prediction"), get("types").alias("types"))
 
 
-def summary_text(matching: Column, different: Column, missing: Column, extra: Column) -> Column:
-    """What a comparison found, in words."""
-    part = lambda n, text: F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))
-    rest = F.concat_ws("; ", part(different, " elements differ (attributes or text)"), part(missing, " element(s) missing"),
-                       part(extra, " extra element(s)"), part(matching, " elements match structurally"))
-    only = (matching > 0) & (different == 0) & (missing == 0) & (extra == 0)
-    return F.when(only, "All elements match structurally.").when(rest == "", "No elements compared.").otherwise(rest)
+def summary_text(**counts: Column) -> Column:
+    """The counts by outcome and their sum: ``equal 3, changed 1, left only 0, right only 2 of 6``."""
+    shown = [F.concat(F.lit(name.replace("_", " ") + " "), F.coalesce(n, F.lit(0)).cast("string")) for name, n in counts.items()]
+    total = sum((F.coalesce(n, F.lit(0)) for n in counts.values()), F.lit(0))
+    return F.concat(F.concat_ws(", ", *shown), F.lit(" of "), total.cast("string"))
 
 
 def file_pair_report(pair: DataFrame) -> DataFrame:
@@ -151,7 +150,8 @@ def file_pair_report(pair: DataFrame) -> DataFrame:
             "original_content is not null and modified_content is not null")
 
     html = tree_scores(tree_comparison(texts("html"), "pair_id"), "pair_id")
-    html = html.select("pair_id", F.col("similarity").alias("html_similarity"), summary_text(*(F.col(c) for c in ("matching", "different", "missing", "extra"))).alias("html_summary"))
+    html = html.select("pair_id", F.col("similarity").alias("html_similarity"), summary_text(
+        equal=F.col("matching"), changed=F.col("different"), left_only=F.col("missing"), right_only=F.col("extra")).alias("html_summary"))
     sheet = css.compare_stylesheets(texts("css"), "pair_id").select("pair_id", "css_similarity")
     out = pair.select("pair_id").join(html, "pair_id", "left").join(sheet, "pair_id", "left")
     for kind in ("jsx", "js"):
@@ -165,7 +165,7 @@ def text_report(reports: DataFrame) -> DataFrame:
     """``pair_id, text``: a plain-text version of a file pair's report."""
     shown = lambda c: F.concat(F.format_number(100 * F.coalesce(c, F.lit(0.0)), 2), F.lit("%"))
     return reports.select("pair_id", F.concat_ws(
-        "\n", F.lit("Template Comparison Report"), F.concat(F.lit("Overall similarity: "), shown(F.col("overall_similarity"))),
+        "\n", F.concat(F.lit("Pair "), F.col("pair_id").cast("string"), F.lit(": "), shown(F.col("overall_similarity")), F.lit(" alike")),
         F.concat(F.lit("HTML: "), shown(F.col("html_similarity")), F.lit(" "), F.coalesce("html_summary", F.lit(""))),
         F.concat(F.lit("JSX: "), shown(F.col("jsx_similarity"))), F.concat(F.lit("CSS: "), shown(F.col("css_similarity"))),
         F.concat(F.lit("JS: "), shown(F.col("js_similarity")))).alias("text"))
