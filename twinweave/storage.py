@@ -2,7 +2,7 @@
 
 Work that must outlive an executor (cut lineage, written archives) goes below
 ``spark.checkpoint.dir``, which all executors share.  Only where that setting
-is absent (tests on one machine) a local folder is made.
+is absent and all work is in one process (tests) a local folder is made.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return re.sub(r"^file:/+", "file:///", base.rstrip("/"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_base:
         _local_base[app] = tempfile.mkdtemp(prefix="twinweave-")
@@ -48,8 +50,8 @@ def _sweep() -> None:
     for spark, path in _made:
         try:
             remove(spark, path)
-        except Exception:  # the JVM may already be gone
-            return
+        except Exception:  # the JVM may already be gone, or this store out of reach; the others are still tried
+            continue
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
