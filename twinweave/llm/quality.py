@@ -13,7 +13,8 @@ every document is scored.  Inputs are statistics of the whole text alone.
 Defined cases: a null text is the empty text; of labels that disagree on a
 document the mean counts, 0.5 as good; labels with a null doc_id or quality are
 not used; without labels every score is 0.5; every input row gives one row;
-columns not named are ignored.
+a text of any length is measured whole; columns not named are ignored; an empty
+table gives an empty table.  Ids must be numbers, as labels have them.
 """
 
 from __future__ import annotations
@@ -222,7 +223,9 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return fit(x, y)
 
 
-def _scored(model, row=None):
+def _scored(model):
+    """Rows whose second column is text: the others, with the score in its place."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -230,20 +233,21 @@ def _scored(model, row=None):
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 s = model.value.score(features(part.column(1).to_pylist()))
-                columns, names = [part.column(0), pa.array(s, pa.float64())], ["k", "score"]
-                if row is not None:
-                    columns, names = [*columns, part.column(2)], [*names, "r"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), *part.columns[2:]], names=["k", "score", *part.schema.names[2:]])
 
     return run
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-                   max_labelled: int = MAX_LABELLED, row: str | None = None) -> DataFrame:
-    """``key, held_out, score, predicted`` for every row, and the long column ``row`` of the documents if it is named."""
-    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, key, text, max_labelled=max_labelled))
-    carried = [] if row is None else [F.col(row).cast("long").alias("r")]
+                   max_labelled: int = MAX_LABELLED, keep: tuple[str, ...] = (), model: Model | None = None) -> DataFrame:
+    """``key, held_out, score, predicted`` for every row, and the columns ``keep`` of the
+    documents.  Without a model one is trained on these documents."""
+    if model is None:
+        model = train(documents, labels, key, text, max_labelled=max_labelled)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    carried = [F.col(c).alias(f"c{n}") for n, c in enumerate(keep)]
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *carried)
-    out = rows.mapInArrow(_scored(model, row), "k long, score double" + (", r long" if carried else ""))
+    schema = ["k long", "score double", *(f"c{n} {documents.schema[c].dataType.simpleString()}" for n, c in enumerate(keep))]
+    out = rows.mapInArrow(_scored(shared), ", ".join(schema))
     return out.select(F.col("k").alias(key), F.coalesce(~learnable(F.col("k")), F.lit(False)).alias("held_out"), "score",
-                      (F.col("score") >= threshold).cast("int").alias("predicted"), *([F.col("r").alias(row)] if carried else []))
+                      (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"c{n}").alias(c) for n, c in enumerate(keep)))
