@@ -3,6 +3,12 @@
 Every stage but the last returns the columns of ``documents`` for the rows it
 keeps.  ``run`` writes each stage's rows as Parquet in the shared folder and
 reads them again as the next one's input.
+
+Defined cases, of all stages: a row is decided by itself, whether its id is null,
+repeated or shared with other texts, because each stage that has to find rows
+again gives them a written key of its own; null and empty texts are texts
+without words; texts of any length are used whole; an empty table gives an empty
+table; further columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -16,50 +22,63 @@ from twinweave.llm.common import written
 from twinweave.llm.queries import table, tokenizer_path
 
 
-_ROW = "_row_key"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows, written once with a key of their own, so that ids need be neither set nor unique."""
-    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written once with a key of their own under a name that no column has, and that name."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
-def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+def _kept(keyed: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is among keys, without the key."""
-    return keyed.join(keys.select(_ROW), _ROW, "left_semi").drop(_ROW)
+    return keyed.join(keys.select(key), key, "left_semi").drop(key)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier rejects go; each row is decided by its own text."""
-    keyed = _keyed(docs)
-    scores = quality.quality_scores(keyed, table(spark, sf_dir, "labels"), row=_ROW)
-    return _kept(keyed, scores.where("predicted = 1"))
+    """Rows that the classifier rejects go.  Each row is scored by its own text; of
+    equal texts all stay or all go; a null text is scored as the empty one."""
+    keyed, key = _keyed(docs)
+    scores = quality.quality_scores(keyed, table(spark, sf_dir, "labels"), keep=(key,))
+    return _kept(keyed, key, scores.where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: of the smallest id (null last), the smallest row key."""
-    keyed = _keyed(docs)
-    found = simhash.near_duplicates(keyed, row=_ROW)
-    return _kept(keyed, found.where(F.col(_ROW) == F.col("component_row")))
+    """One row of each near-duplicate group stays: of the smallest id (null last) the
+    smallest row key.  Rows that share an id but are unlike both stay; texts
+    without words are one group."""
+    keyed, key = _keyed(docs)
+    found = simhash.near_duplicates(keyed, row=key)
+    return _kept(keyed, key, found.where(F.col(key) == F.col("component_row")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    columns = docs.columns
-    marked = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(columns))
-    return marked.where("not contaminated").select(*columns)
+    """Contaminated documents go; a text without words is not contaminated, and
+    equal rows all stay or all go.  Columns pass the operator under numbers, so
+    that none can have the name of a result."""
+    names = [f"d{n}" for n in range(len(docs.columns))]
+    marked = _decontaminate.decontaminate(
+        docs.toDF(*names), table(spark, sf_dir, "benchmark"), keep=tuple(names), text=names[docs.columns.index("text")])
+    return marked.where("not contaminated").select(*names).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix has it."""
-    keyed = _keyed(docs)
-    copies = mixing.mix(keyed, row=_ROW).where("copies > 0").select(_ROW, F.col("copies").alias("_copies"))
-    joined = keyed.join(copies, _ROW)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix has it; its quality weight is the score of the
+    classifier, learned from the labelled rows of the whole ``documents`` table.
+    Null sources are one source; equal rows are dealt copies one by one."""
+    keyed, key = _keyed(docs)
+    labels = table(spark, sf_dir, "labels")
+    model = quality.train(table(spark, sf_dir, "documents"), labels)
+    weighed = quality.quality_scores(keyed, labels, keep=("text", "source", key), model=model)
+    copies = mixing.mix(weighed, row=key, weight="score").where("copies > 0").select(key, F.col("copies").alias("n"))
+    # the number of copies travels beside the whole row, whose columns may have any name
+    rows = keyed.select(F.col(key), F.struct(*docs.columns).alias("whole")).join(copies, key)
+    return rows.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("whole.*")
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bit-packed token files, read back."""
+    """Bit-packed token files in order of id (null first), read back: one row for
+    each row, repeated ones in order of text; a null text has the end id alone."""
     return tokenfile.tokens_written_and_read(docs, tokenizer_path())
 
 
