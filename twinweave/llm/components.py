@@ -2,8 +2,10 @@
 
 Every round is a handful of joins and min-aggregations over the edge table; the
 edges are written to the shared folder between rounds.  No round collects edges
-to the driver, and a hub is only ever reduced by a partial aggregation or met in
-a plain equi-join, which adaptive execution can split.
+to the driver.  A hub is only ever reduced by a partial aggregation: a node with
+more than ``1 / SHARE`` of the edges meets its minimum by a broadcast of at most
+``2 * SHARE`` rows (edges stand in both directions), so that its edges stay where
+they are; the other nodes' edges are dealt by node.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from .common import remove, work_dir, written
 
 #: Nodes that a task holds at once while it contracts edges.
 HELD = 500_000
+#: A node with more than this part of all edges is not dealt to one task.
+SHARE = 1000
 
 
 def _contract(batches):
@@ -51,6 +55,14 @@ def _contract(batches):
     yield from stars()
 
 
+def _with_minimum(edges: DataFrame, minima: DataFrame, total: int) -> DataFrame:
+    """``u, v, m`` for edges ``u, v`` and minima ``u, m, n`` (n edges of the node), out of ``total`` edges in one direction."""
+    heavy = F.broadcast(minima.where(F.col("n") * SHARE > total).select("u", "m"))
+    light = minima.where(F.col("n") * SHARE <= total).select("u", "m")
+    dealt = edges.join(heavy.select("u"), "u", "left_anti").join(light, "u")
+    return edges.join(heavy, "u").select("u", "v", "m").union(dealt.select("u", "v", "m"))
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``node long, root long`` for every node that has an edge.
 
@@ -63,14 +75,14 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     path = work_dir(spark, "edges")
     e = written(e.mapInArrow(_contract, "u long, v long"), "edges", path)
-    before = None
+    before, total = None, e.count()
     while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_minimum(both, low, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u").select(F.explode(F.array(
+        parent = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_minimum(large, parent, total).select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         new_path = work_dir(spark, "edges")
@@ -81,4 +93,4 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if now == before:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-        before = now
+        before, total = now, now[0]
