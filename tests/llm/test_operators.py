@@ -193,6 +193,30 @@ def test_token_files(spark, sf, tokenizer):
     assert tokenfile.tokens_written_and_read(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_token_files_of_one_id(spark, tokenizer, tmp_path):
+    """Rows of one id, null ids, several files a task, and columns named like results."""
+    texts = [f"text {i} of many " * (i % 9) for i in range(60)] + [None, "", "same", "same"]
+    rows = [([None, 7, 7, 8][i % 4], t, "f", 1, 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, file string, n long, h long").repartition(3)
+    folder = f"file://{tmp_path}/t"
+    shards = tokenfile.write_tokens(df, folder, tokenizer_path(), parts=3, file_ids=50)
+    assert shards.count() > 6
+    got = [tuple(r) for r in tokenfile.read_tokens(shards, folder).collect()]
+
+    def digest(t):
+        from xxhash import xxh64_intdigest
+
+        n = xxh64_intdigest((t or "").encode(), 42)
+        return n - (1 << 64) if n >> 63 else n
+
+    at, want = 0, []
+    for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1]))):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(got, key=lambda r: r[1]) == want
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 32])
 def test_packing(bits, tmp_path):
     from pyarrow import fs

@@ -5,13 +5,18 @@ vocabulary needs; then, compressed, the table of documents (ids and starts) and
 the block offsets; then a tail that says where they are.  Any run of ids is
 read by its blocks alone.
 
-Documents are range-partitioned and sorted by id; a task writes the file of its
-range under a name of its own and returns one row.  The starts of files are
-prefix sums over those rows, one for each partition.
+Texts are encoded where they lie, and the packed ids are written once with the
+document's id and a digest of its text.  These rows, half as large as the text,
+are range-partitioned and sorted by id and digest; so a doc_id with any number
+of rows is dealt to several tasks unless its texts are equal too.  A task writes
+the files of its range under names of their own, each of at most about
+``FILE_IDS`` ids, and returns one row for each file.  The starts of files are
+prefix sums over those rows.
 
 Defined cases: null text is empty (only the end id is written); null ids come
-first; repeated ids are ordered by text and kept; an empty table writes no
-file; columns not named are ignored.
+first; rows of one id are kept, in order of their texts' digests (XXH64); a text
+of any length is one run of ids; an empty table writes no file; columns not
+named are ignored.  Ids must be numbers.
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, byte_symbols, is_plain, split_pieces
-from .common import file_system, make_dirs, number_of_parts, work_dir, written
+from .common import MAX_PARTS, file_system, make_dirs, work_dir, written
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
+FILE_IDS = 1 << 26
+#: Packed bytes of a range that one task sorts and writes.
+PART_BYTES = 12 << 20
 _TAIL = "<QQQQI8s"  # place and size of the tables, ids, documents, bits
 _MAGIC = b"TWTOKEN1"
 
@@ -59,11 +67,9 @@ def unpack(data: bytes, n: int, bits: int):
 
 class Writer:
     def __init__(self, stream, bits: int):
-        import numpy as np
-
         self.out, self.bits = stream, bits
-        self.rest = np.zeros(0, np.uint32)
-        self.at = self.n_ids = 0
+        self.rest: list = []
+        self.n_rest = self.at = self.n_ids = 0
         self.offsets: list[int] = []
         self.docs: list[int] = []
         self.known: list[int] = []
@@ -76,11 +82,14 @@ class Writer:
         self.known.append(doc_id is not None)
         self.starts.append(self.n_ids)
         self.n_ids += len(ids)
-        self.rest = np.concatenate([self.rest, ids])
-        whole = len(self.rest) // BLOCK_IDS * BLOCK_IDS
-        for i in range(0, whole, BLOCK_IDS):
-            self._block(self.rest[i : i + BLOCK_IDS])
-        self.rest = self.rest[whole:]
+        self.rest.append(ids)
+        self.n_rest += len(ids)
+        if self.n_rest >= BLOCK_IDS:
+            joined = np.concatenate(self.rest)
+            whole = len(joined) // BLOCK_IDS * BLOCK_IDS
+            for i in range(0, whole, BLOCK_IDS):
+                self._block(joined[i : i + BLOCK_IDS])
+            self.rest, self.n_rest = [joined[whole:]], len(joined) - whole
 
     def _block(self, ids) -> None:
         data = pack(ids, self.bits)
@@ -91,8 +100,8 @@ class Writer:
     def close(self) -> None:
         import numpy as np
 
-        if len(self.rest):
-            self._block(self.rest)
+        if self.n_rest:
+            self._block(np.concatenate(self.rest))
         self.offsets.append(self.at)
         tables = zlib.compress(b"".join([
             np.array(self.docs, "<i8").tobytes(), np.array(self.known, "u1").tobytes(),
@@ -196,41 +205,72 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _write(folder: str, tokenizer_path: str, end_id: int):
+def id_bits(tokenizer_path: str, end_id: int) -> int:
+    return bits_for(max(encoder(tokenizer_path).vocabulary, end_id + 1))
+
+
+def _encode(tokenizer_path: str, end_id: int):
+    """Rows ``k, h, text``: the number of ids with the end id, and the ids packed."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
+
+        e, bits = encoder(tokenizer_path), id_bits(tokenizer_path, end_id)
+        end = np.array([end_id], np.uint32)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = [np.concatenate([e.ids(text or ""), end]) for text in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x, bits) for x in ids], pa.binary())], names=["k", "h", "n", "ids"])
+
+    return run
+
+
+def _write(folder: str, bits: int, file_ids: int):
+    def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        e = encoder(tokenizer_path)
         store, path = file_system(folder)
-        name = f"tokens-{uuid.uuid4().hex}.bin"
-        writer = None
-        end = np.array([end_id], np.uint32)
+        shard, name, writer, files = TaskContext.get().partitionId(), "", None, []
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc, n, data in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
                     if writer is None:
-                        writer = Writer(store.open_output_stream(f"{path}/{name}", compression=None), bits_for(max(e.vocabulary, end_id + 1)))
-                    writer.add(doc, np.concatenate([e.ids(text or ""), end]))
+                        name = f"tokens-{uuid.uuid4().hex}.bin"
+                        writer = Writer(store.open_output_stream(f"{path}/{name}", compression=None), bits)
+                    writer.add(doc, unpack(data, n, bits))
+                    if writer.n_ids >= file_ids:
+                        writer.close()
+                        files.append((shard, len(files), name, writer.n_ids, len(writer.docs)))
+                        writer = None
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([writer.n_ids], pa.int64()), pa.array([len(writer.docs)], pa.int64())],
-                names=["shard", "file", "n_ids", "n_docs"])
+            files.append((shard, len(files), name, writer.n_ids, len(writer.docs)))
+        if files:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files), kinds)], names=["shard", "nth", "file", "n_ids", "n_docs"])
 
     return run
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, key: str = "doc_id", text: str = "text",
-                 end_id: int = END_ID, parts: int | None = None) -> DataFrame:
-    """Writes the files; ``shard, file, n_ids, n_docs`` of each, shards in order of ids."""
+                 end_id: int = END_ID, parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the files; ``shard, nth, file, n_ids, n_docs`` of each, (shard, nth) in order of ids."""
+    spark = documents.sparkSession
     make_dirs(folder)
-    rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    parts = parts or number_of_parts(documents.sparkSession, rows, "t")
-    ordered = rows.repartitionByRange(parts, "k").sortWithinPartitions("k", "t")
-    return written(ordered.mapInArrow(_write(folder, tokenizer_path, end_id), "shard long, file string, n_ids long, n_docs long"),
+    t = F.col(text).cast("string")
+    rows = documents.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), t.alias("t"))
+    coded = written(rows.mapInArrow(_encode(tokenizer_path, end_id), "k long, h long, n long, ids binary"), "ids")
+    bits = id_bits(tokenizer_path, end_id)
+    if parts is None:
+        total = (coded.agg(F.sum("n")).first()[0] or 0) * bits // 8
+        parts = min(MAX_PARTS, max(int(spark.sparkContext.defaultParallelism), -(-total // PART_BYTES), 1))
+    ordered = coded.repartitionByRange(parts, "k", "h").sortWithinPartitions("k", "h")
+    return written(ordered.mapInArrow(_write(folder, bits, file_ids), "shard long, nth long, file string, n_ids long, n_docs long"),
                    "shards", f"{folder}/shards")
 
 
@@ -257,7 +297,7 @@ def _read(folder: str):
 def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files."""
     spark = shards.sparkSession
-    rows = sorted(shards.collect(), key=lambda r: r.shard)  # one row a partition
+    rows = sorted(shards.collect(), key=lambda r: (r.shard, r.nth))  # one row a file
     starts, total = [], 0
     for r in rows:
         starts.append((r.file, total))
