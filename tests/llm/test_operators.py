@@ -60,6 +60,20 @@ def test_chat_round_trip(spark):
     assert chat.read_chat(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_chat_crowded_turns(spark):
+    """Many rows without a turn or of one turn, one very long text, equal rows, and columns named as inside."""
+    rng = random.Random(3)
+    rows = [(1, rng.choice([None, 0, 1]), rng.choice(["user", "assistant"]), f"t{rng.randrange(50)} </s>") for _ in range(900)]
+    rows += [(2, 0, "assistant", "long [INST] " * 100_000), (None, None, None, None), (1, None, "user", "t1 </s>")]
+    df = spark.createDataFrame([(*r, "piece", 1, 2) for r in rows], "conv_id long, turn long, role string, text string, piece string, t int, row int")
+    want = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(conv, []).append((role or "", text or ""))
+    for chunk in (16, 100_000):
+        got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_chat(chat.format_chat(df, chunk=chunk)).collect()}
+        assert got == want
+
+
 def test_chat_merges_adjacent_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 3, "system", "d")], "conv_id long, turn long, role string, text string")
     r = chat.format_chat(df).first()

@@ -13,12 +13,16 @@ one more if it had some), which is undone by taking one away.
 
 A conversation is built in two steps, so that a very long one is sorted, merged
 and rendered in pieces of ``chunk`` turns by many tasks; only the finished
-pieces of a conversation meet in one row.
+pieces of a conversation meet in one row.  Pieces are cut by the value of
+``turn``, which needs one shuffle.  Where that leaves a piece with over
+``CROWDED`` times as many rows (equal or null turns; a count over the two key
+columns tells), all rows are first dealt by ranges over (conv_id, turn, role,
+text, row) and pieces are cut by position.  The result is the same.
 
 Defined cases: a null text is the empty text; a null role is the role with the
 empty name; rows are ordered by turn (null first), then role, then text, and
 repeated rows are turns of their own; rows with a null conv_id form one
-conversation; an empty table gives an empty table; columns not named are
+conversation; an empty table gives an empty table; texts of any length are whole; columns not named are
 ignored.
 """
 
@@ -31,6 +35,8 @@ BOS, EOS = "<s>", "</s>"
 _REST = r"(/?s>|/?INST\]|/?ROLE\]|/TURN\]|NEXT\])"
 ESCAPE = (r"([<\[])(\\*)" + _REST, r"$1$2\\$3")
 UNESCAPE = (r"([<\[])\\(\\*)" + _REST, r"$1$2$3")
+#: Times its number of turns that a piece may have before pieces are cut by position.
+CROWDED = 4
 _BLOCK = r"(?s)\[INST\].*?\[/INST\]|\[ROLE\].*?\[/ROLE\].*?\[/TURN\]|.*?</s>"
 
 
@@ -86,17 +92,29 @@ _ALL_SPANS = """flatten(aggregate(glued, named_struct('at', 0, 'spans', cast(arr
   a -> a.spans))"""
 
 
+def _pieces(rows: DataFrame, chunk: int) -> DataFrame:
+    """Rows ``conv_id, turn, t`` with the number of a piece; pieces follow the order of (turn, role, text)."""
+    by_turn = rows.withColumn("piece", F.floor(F.col("turn") / chunk))
+    most = by_turn.groupBy("conv_id", "piece").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= CROWDED * chunk:
+        return by_turn
+    order = ["conv_id", "turn", "t", "row"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return dealt.withColumn("piece", F.floor(F.monotonically_increasing_id() / chunk))
+
+
 def format_chat(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                 text: str = "text", chunk: int = 256) -> DataFrame:
     """``conv_id, formatted, loss_spans``: spans are code points of ``formatted``
     (start from 0, length), one for each assistant text, escaped as it stands."""
     rows = conversations.select(
-        F.col(conv).alias("conv_id"), F.floor(F.col(turn) / chunk).alias("piece"), F.struct(
+        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.struct(
             F.col(turn).alias("turn"),
             escape(F.coalesce(F.col(role).cast("string"), F.lit(""))).alias("role"),
             escape(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text")).alias("t"))
     pieces = (
-        rows.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+        _pieces(rows, chunk).groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("t")).alias("turns"))
         .withColumn("blocks", F.expr(_MERGE))
         .withColumn("rendered", F.expr(_RENDER))
         .select("conv_id", "piece",
