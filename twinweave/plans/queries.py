@@ -141,6 +141,21 @@ def class_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(classes.markup_classes(F.col("html"))).alias("class")).groupBy("page_id", "class").agg(F.count("*").alias("n"))
 
 
+@query("""WITH p AS (SELECT page_id, string_split_regex(html, '(?:class|className)\\s*=\\s*"[^"]+"') AS pieces, regexp_extract_all(html, '(?:class|className)\\s*=\\s*"([^"]+)"', 1) AS found FROM pages),
+e AS (SELECT page_id, unnest(string_split(found[i], ' ')) AS class, 1 + list_sum(list_transform(pieces[1:i], lambda s: length(s) - length(replace(s, chr(10), '')))) AS line FROM p, unnest(range(1, len(found) + 1)) AS u(i))
+SELECT page_id, class, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM e WHERE class <> '' GROUP BY page_id, class""")
+def class_line_numbers(spark, sf_dir):
+    rows = classes.class_lines(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content")), ["page_id"])
+    return rows.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
+
+
+@query("""WITH e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(substr(html, strpos(html, '<body')), '(?s)<!--.*?-->|<script.*?</script>', '', 'g'), '<([a-z0-9]+) class="[^"]*"')) AS tag FROM pages)
+SELECT page_id, regexp_extract(tag, '"([^"]*)"', 1) AS class, count(*) AS n, string_agg(tag || '>', ',' ORDER BY tag) AS locations FROM e GROUP BY 1, 2""")
+def class_locations(spark, sf_dir):
+    rows = classes.html_classes(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content")), ["page_id"])
+    return rows.withColumn("locations", F.array_join("locations", ","))
+
+
 # --- files and joins ------------------------------------------------------------
 
 _PATHS = """(VALUES ('src/App.JSX'), ('a/b.tsx'), ('x.ts'), ('next-env.d.ts'), ('lib/tailwind.config.js'), ('tailwind.config.js'), ('s.css'), ('i.html'), ('i.htm'),
@@ -318,12 +333,35 @@ def dependency_similarity(spark, sf_dir):
     return maps.select("id", jsonconfig.dependency_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-_PACKAGES = """(VALUES (1, '{"dependencies":{"a":"1.0.0"}}', '{"dependencies":{"a":"1.0.0"}}', 1.0), (2, '{}', '{}', NULL), (3, 'not json', '{"x":1}', NULL),
-  (4, '{"name":"p","keywords":["a","b"],"scripts":{"dev":"x","t":"jest"}}', '{"name":"p","keywords":["b","c"],"scripts":{"dev":"y","t":"jest"}}', 0.6333333333333333),
-  (5, '{"devDependencies":{"a":"1.0.0"},"eslintConfig":{"r":1}}', '{"devDependencies":{"b":"1.0.0"},"eslintConfig":{"r":2,"s":1}}', 0.1)) AS t(id, a, b, expected)"""
-
-
-@query(f"SELECT id, round(CAST(expected AS DOUBLE), 9) AS package_similarity FROM {_PACKAGES}")
+_PACKAGES = """(VALUES (1, '{"dependencies":{"a":"1.0.0"}}', '{"dependencies":{"a":"1.0.0"}}'), (2, '{}', '{}'), (3, 'not json', '{"x":1}'),
+  (4, '{"name":"p","keywords":["a","b"],"scripts":{"dev":"x","t":"jest"}}', '{"name":"p","keywords":["b","c"],"scripts":{"dev":"y","t":"jest"}}'),
+  (5, '{"devDependencies":{"a":"1.0.0"},"eslintConfig":{"r":1}}', '{"devDependencies":{"b":"1.0.0"},"eslintConfig":{"r":2,"s":1}}'),
+  (6, '{"dependencies":{"a":"1.2.3","react":"18"},"peerDependencies":{"p":"1"}}', '{"dependencies":{"a":"1.2.4","b":"2","react":"18"}}')) AS t(id, a, b)"""
+
+
+def _jaccard_sql(x: str, y: str) -> str:
+    return f"(CASE WHEN len({x}) + len({y}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct({x} || {y})) END)"
+
+
+#: Command texts that differ are left null here: the fixture has none.
+@query(f"""WITH f AS (SELECT id, CASE WHEN json_valid(a) THEN a ELSE '{{}}' END AS a, CASE WHEN json_valid(b) THEN b ELSE '{{}}' END AS b FROM {_PACKAGES}),
+k AS (SELECT id, a, b, k, coalesce(json_keys(a, '$.' || k), []) AS x, coalesce(json_keys(b, '$.' || k), []) AS y FROM f, unnest(['dependencies', 'devDependencies', 'peerDependencies', 'scripts']) AS u(k)
+  WHERE json_exists(a, '$.' || k) OR json_exists(b, '$.' || k)),
+own AS (SELECT *, list_filter(x, lambda n: n NOT IN ('react', 'react-dom', 'next', 'dev', 'build', 'start', 'lint')) AS p, list_filter(y, lambda n: n NOT IN ('react', 'react-dom', 'next', 'dev', 'build', 'start', 'lint')) AS q FROM k),
+e AS (SELECT id, k, n, a ->> ('$.' || k || '.' || n) AS v, b ->> ('$.' || k || '.' || n) AS w FROM own, unnest(list_intersect(CASE WHEN k = 'scripts' THEN p ELSE x END, CASE WHEN k = 'scripts' THEN q ELSE y END)) AS u(n)),
+m AS (SELECT id, k, avg(CASE WHEN k <> 'scripts' THEN {_version_sql('v', 'w')} WHEN v = w THEN 1.0::DOUBLE END) AS inner_score FROM e GROUP BY id, k),
+sections AS (
+  SELECT id, k, CASE WHEN inner_score IS NULL THEN {_jaccard_sql('p', 'q')} WHEN k = 'scripts' THEN 0.6::DOUBLE * {_jaccard_sql('p', 'q')} + 0.4::DOUBLE * inner_score
+    ELSE 0.3::DOUBLE * {_jaccard_sql('p', 'q')} + 0.7::DOUBLE * inner_score END AS s FROM own LEFT JOIN m USING (id, k)
+  UNION ALL SELECT id, 'meta', avg(CASE WHEN json_type(a, '$.' || n) = 'ARRAY' AND json_type(b, '$.' || n) = 'ARRAY' THEN {_jaccard_sql("CAST(json_extract(a, '$.' || n) AS VARCHAR[])", "CAST(json_extract(b, '$.' || n) AS VARCHAR[])")}
+    WHEN lower(trim(a ->> n)) = lower(trim(b ->> n)) AND trim(a ->> n) <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+    FROM f, unnest(['name', 'version', 'description', 'keywords', 'author']) AS u(n) GROUP BY id HAVING bool_or(json_exists(a, '$.' || n) OR json_exists(b, '$.' || n))
+  UNION ALL SELECT id, 'config', coalesce(avg({_jaccard_sql("json_keys(a, '$.' || n)", "json_keys(b, '$.' || n)")}) FILTER (json_exists(a, '$.' || n) AND json_exists(b, '$.' || n)), 1.0)
+    FROM f, unnest(list_distinct(json_keys(a) || json_keys(b))) AS u(n) WHERE n LIKE '%Config' OR n IN ('browserslist', 'jest') GROUP BY id),
+w(k, w) AS (VALUES ('dependencies', 0.5::DOUBLE), ('devDependencies', 0.2), ('peerDependencies', 0.05), ('scripts', 0.05), ('meta', 0.05), ('config', 0.05)),
+weights AS (SELECT f.id, w.k, s, CASE WHEN w.k <> 'dependencies' THEN w.w ELSE w.w + (SELECT coalesce(sum(v.w), 0) FROM w v WHERE v.k <> 'dependencies' AND v.k NOT IN (SELECT z.k FROM sections z WHERE z.id = f.id)) END AS w
+  FROM f CROSS JOIN w LEFT JOIN sections ON sections.id = f.id AND sections.k = w.k)
+SELECT id, round(sum(s * w) / nullif(sum(w) FILTER (s IS NOT NULL), 0), 9) AS package_similarity FROM weights GROUP BY id""")
 def package_score(spark, sf_dir):
     rows = fixture(spark, _PACKAGES)
     return jsonconfig.package_similarity(rows, "id", "a", "b").select("id", F.round("package_similarity", 9).alias("package_similarity"))
@@ -410,20 +448,23 @@ def css_specificity(spark, sf_dir):
     return fixture(spark, _SELECTORS).select("s", css_functions.specificity(F.col("s")).alias("specificity"))
 
 
-_SHEETS = """(VALUES (1, '.foo { color: #fff; }', '.foo { color: #ffffff; }', 1.0, 1, 0, 0, 0), (2, '.foo { color: #fff; } .bar { margin: 0; }', '.foo { color: #fff; }', 0.5, 1, 0, 1, 0),
-  (3, '.foo { color: #fff; }', '.foo { color: #fff; } .bar { margin: 0; }', 0.5, 1, 0, 0, 1), (4, '.foo { color: #fff; margin: 0; }', '.foo { color: #fff; padding: 1rem; }', 0.333333333, 0, 1, 0, 0),
-  (5, '', '.foo { }', 1.0, 0, 0, 0, 0), (6, '@media (min-width: 600px) { .foo { color: red; } }', '@media (min-width: 600px) { .foo { color: red; } }', 1.0, 0, 0, 0, 0),
-  (7, '.foo { color: #fff; } /* c */', '.foo{color:#fff;}', 1.0, 1, 0, 0, 0), (8, '.a {x:1;} .b {y:2;}', '.b {y:2;} .a {x:1;}', 1.0, 2, 0, 0, 0),
-  (9, '.foo { color: #fff; } .foo { margin: 0; }', '.foo { color: #fff; margin: 0; }', 1.0, 1, 0, 0, 0), (10, '@import url(a.css); .foo { color: #fff; }', '.foo { color: #fff; }', 1.0, 1, 0, 0, 0),
-  (11, ':root { --c: red } .a { color: var(--c) }', ':root { --c: red } .a { color: red }', 1.0, 2, 0, 0, 0)) AS t(id, a, b, s, m, d, x, e)"""
+_SHEETS = """(VALUES (1, '.foo { color: #fff; }', '.foo { color: #ffffff; }'), (2, '.foo { color: #fff; } .bar { margin: 0; }', '.foo { color: #fff; }'),
+  (3, '.foo { color: #fff; }', '.foo { color: #fff; } .bar { margin: 0; }'), (4, '.foo { color: #fff; margin: 0; }', '.foo { color: #fff; padding: 1rem; }'),
+  (5, '', '.foo { }'), (6, '@media (min-width: 600px) { .foo { color: red; } }', '@media (min-width: 600px) { .foo { color: red; } }'),
+  (7, '.foo { color: #fff; } /* c */', '.foo{color:#fff;}'), (8, '.a {x:1;} .b {y:2;}', '.b {y:2;} .a {x:1;}'),
+  (9, '.foo { color: #fff; } .foo { margin: 0; }', '.foo { color: #fff; margin: 0; }'), (10, '@import url(a.css); .foo { color: #fff; }', '.foo { color: #fff; }'),
+  (11, ':root { --c: red } .a { color: var(--c) }', ':root { --c: red } .a { color: red }')) AS t(id, a, b)"""
 
 
-@query(f"""WITH t AS (SELECT id, side, regexp_replace(regexp_replace(regexp_replace(css, '/[*].*?[*]/', '', 'g'), '@media[^{{]*[{{]([^{{}}]*[{{][^{{}}]*[}}])*\\s*[}}]', '', 'g'), '@import[^;]*;', '', 'g') AS css
+_SHEETS_SQL = f"""t AS (SELECT id, side, regexp_replace(regexp_replace(regexp_replace(css, '/[*].*?[*]/', '', 'g'), '@media[^{{]*[{{]([^{{}}]*[{{][^{{}}]*[}}])*\\s*[}}]', '', 'g'), '@import[^;]*;', '', 'g') AS css
   FROM (SELECT id, 0 AS side, a AS css FROM {_SHEETS} UNION ALL SELECT id, 1, b FROM {_SHEETS})),
 r AS (SELECT id, side, lower(trim(split_part(x, '{{', 1))) AS sel, split_part(rtrim(x, '}}'), '{{', 2) AS body FROM (SELECT id, side, unnest(regexp_extract_all(css, '[^{{}}]+[{{][^{{}}]*[}}]')) AS x FROM t)),
 d AS (SELECT id, side, sel, trim(split_part(p, ':', 1)) AS prop, trim(split_part(p, ':', 2)) AS v FROM (SELECT id, side, sel, unnest(string_split(body, ';')) AS p FROM r) WHERE trim(p) <> ''),
 e AS (SELECT d.id, d.side, d.sel, d.prop, coalesce(root.v, d.v) AS v FROM d LEFT JOIN d root ON root.id = d.id AND root.side = d.side AND root.sel = ':root' AND d.v = 'var(' || root.prop || ')'),
-n AS (SELECT id, side, sel, prop, CASE WHEN regexp_matches(v, '^#[0-9a-f]{{3}}$') THEN regexp_replace(v, '([0-9a-f])', '\\1\\1', 'g') ELSE v END AS v FROM e),
+n AS (SELECT id, side, sel, prop, CASE WHEN regexp_matches(v, '^#[0-9a-f]{{3}}$') THEN regexp_replace(v, '([0-9a-f])', '\\1\\1', 'g') ELSE v END AS v FROM e)"""
+
+
+@query(f"""WITH {_SHEETS_SQL},
 m AS (SELECT coalesce(x.id, y.id) AS id, coalesce(x.sel, y.sel) AS sel, count(x.v) AS l, count(y.v) AS r, CAST(count(*) FILTER (x.v = y.v) AS DOUBLE) / count(*) AS s
   FROM (SELECT * FROM n WHERE side = 0) x FULL JOIN (SELECT * FROM n WHERE side = 1) y ON x.id = y.id AND x.sel = y.sel AND x.prop = y.prop GROUP BY 1, 2),
 c AS (SELECT id, sum(CASE WHEN l = 0 OR r = 0 OR s < 0.3 THEN 0.0::DOUBLE WHEN s >= 0.9 THEN 1.0 ELSE s END) / count(*) AS similarity, count(*) FILTER (l > 0 AND r > 0 AND s >= 0.9) AS matching,
@@ -435,8 +476,41 @@ def css_rule_diff(spark, sf_dir):
     return css.compare_stylesheets(rows, "id", "a", "b").withColumn("css_similarity", F.round("css_similarity", 9))
 
 
-_KEYFRAMES = """(VALUES (1, '@keyframes k { from { left: 0 } to { left: 10.0px } }', '@keyframes k { from { left: 0 } to { left: 10px } }', 1, 0, 0, 0),
-  (2, '@keyframes k { from { left: 0 } } @keyframes z { to { a: b } }', '@keyframes k { from { left: 1px } } @keyframes y { to { a: b } }', 1, 1, 1, 1)) AS t(id, a, b, m, d, x, e)"""
+@query(f"""WITH {_SHEETS_SQL},
+m AS (SELECT coalesce(x.id, y.id) AS id, coalesce(x.sel, y.sel) AS selector, coalesce(x.prop, y.prop) AS prop, x.v AS a, y.v AS b
+  FROM (SELECT * FROM n WHERE side = 0) x FULL JOIN (SELECT * FROM n WHERE side = 1) y ON x.id = y.id AND x.sel = y.sel AND x.prop = y.prop)
+SELECT id, selector, coalesce(string_agg(prop, ',' ORDER BY prop) FILTER (a = b), '') AS matching_props, coalesce(string_agg(prop, ',' ORDER BY prop) FILTER (a <> b), '') AS different_props,
+  coalesce(string_agg(prop, ',' ORDER BY prop) FILTER (b IS NULL), '') AS missing_props, coalesce(string_agg(prop, ',' ORDER BY prop) FILTER (a IS NULL), '') AS extra_props
+FROM m GROUP BY id, selector HAVING count(a) > 0 AND count(b) > 0""")
+def css_selector_details(spark, sf_dir):
+    rows = fixture(spark, _SHEETS)
+    sides = [css.declaration_table(rows.select("id", F.col(c).alias("content")), "id") for c in ("a", "b")]
+    found = css.selector_details(*sides, ["id"])
+    return found.select("id", F.col("sel").alias("selector"), *(F.array_join(c, ",").alias(c) for c in ("matching_props", "different_props", "missing_props", "extra_props")))
+
+
+_CONDITIONS = """(VALUES (1, '@media (a) { .x { p: q } .y { r: s } } @media (b) { .x { p: q } }', '@media (a) { .x { p: q } .z { r: s } } @media (c) { .x { p: q } }'),
+  (2, '@supports (d: e) { .x { p: q } } .x { p: q }', '@supports (d: e) { .x { p: t } } @media (a) { .x { p: q } }')) AS t(id, a, b)"""
+
+
+@query(f"""WITH c AS (SELECT id, side, unnest(regexp_extract_all(css, '@(?:media|supports)[^{{]*[{{](?:[^{{}}]*[{{][^{{}}]*[}}])*\\s*[}}]')) AS x FROM (SELECT id, 0 AS side, a AS css FROM {_CONDITIONS} UNION ALL SELECT id, 1, b FROM {_CONDITIONS})),
+k AS (SELECT id, side, regexp_extract(x, '@(\\w+)', 1) AS scope, trim(regexp_extract(x, '@\\w+\\s*([^{{]*)', 1)) AS condition, regexp_extract_all(substr(x, strpos(x, '{{') + 1), '([^{{}}]+)[{{]', 1) AS sels FROM c),
+r AS (SELECT id, side, scope, condition, list_transform(sels, lambda v: trim(v)) AS sels FROM k)
+SELECT coalesce(x.id, y.id) AS id, coalesce(x.scope, y.scope) AS scope, coalesce(x.condition, y.condition) AS condition,
+  CASE WHEN y.id IS NULL THEN 'missing' WHEN x.id IS NULL THEN 'extra' ELSE 'matching' END AS state,
+  CAST(len(list_distinct(coalesce(x.sels, []) || coalesce(y.sels, []))) AS BIGINT) AS total,
+  CAST(len(list_filter(coalesce(x.sels, []), lambda v: NOT list_contains(coalesce(y.sels, []), v))) AS BIGINT) AS missing,
+  CAST(len(list_filter(coalesce(y.sels, []), lambda v: NOT list_contains(coalesce(x.sels, []), v))) AS BIGINT) AS extra
+FROM (SELECT * FROM r WHERE side = 0) x FULL JOIN (SELECT * FROM r WHERE side = 1) y ON x.id = y.id AND x.scope = y.scope AND x.condition = y.condition""")
+def css_conditions(spark, sf_dir):
+    rows = fixture(spark, _CONDITIONS)
+    sides = [css.declaration_table(rows.select("id", F.col(c).alias("content")), "id") for c in ("a", "b")]
+    kinds = [css.condition_diff(*sides, ["id"], scope).withColumn("scope", F.lit(scope)) for scope in ("media", "supports")]
+    return kinds[0].unionByName(kinds[1]).select("id", "scope", F.col("scope_key").alias("condition"), "state", "total", "missing", "extra")
+
+
+_KEYFRAMES = """(VALUES (1, '@keyframes k { from { left: 0 } to { left: 10.0px } }', '@keyframes k { from { left: 0 } to { left: 10px } }'),
+  (2, '@keyframes k { from { left: 0 } } @keyframes z { to { a: b } }', '@keyframes k { from { left: 1px } } @keyframes y { to { a: b } }')) AS t(id, a, b)"""
 
 
 @query(f"""WITH f AS (SELECT id, side, regexp_extract(x, '@keyframes\\s+([^\\s{{]+)', 1) AS name, regexp_extract_all(substr(x, strpos(x, '{{') + 1), '[^{{}}]+[{{][^{{}}]*[}}]') AS steps
@@ -465,10 +539,12 @@ def css_parse(spark, sf_dir):
 
 # --- trees and scripts ----------------------------------------------------------------------
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) + len(regexp_extract_all(html, '<article[ >]')) AS n FROM pages WHERE html IS NOT NULL""")
+@query("""WITH b AS (SELECT page_id, regexp_replace(substr(html, strpos(html, '<body')), '(?s)<!--.*?-->|<script.*?</script>', '', 'g') AS html FROM pages WHERE html IS NOT NULL),
+t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >/]', 1)) AS tag FROM b)
+SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag""")
 def html_tree_nodes(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").where("html is not null").select("page_id", html_nodes("html").alias("n"))
-    return rows.select("page_id", F.size(F.filter("n", lambda x: x["tag"].isin("p", "article"))).cast("long").alias("n"))
+    rows = table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.explode(html_nodes("html")).alias("n"))
+    return rows.where("n.kind = 'element'").groupBy("page_id", F.col("n.tag").alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -489,12 +565,12 @@ def page_scripts(spark, sf_dir):
 
 @query()
 def text_similarity(spark, sf_dir):
-    """Pairs of benchmark texts with a ratio of 0.6 or more, each text against all others within the reach of its length."""
+    """Pairs of benchmark texts with a ratio of 0.4 or more, each text against all others within the reach of its length."""
     items = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("pair_id"), F.lit("text").alias("file_type"), "item_id", "text")
-    near = (F.col("l.item_id") < F.col("r.item_id")) & ratio_possible(F.col("l.text"), F.col("r.text"), 0.6)
-    pairs = matching.blocked_pairs(items, items, near, "text", 0.6).select("l.item_id", F.col("r.item_id").alias("other_id"), F.col("l.text").alias("x"), F.col("r.text").alias("y"))
+    near = (F.col("l.item_id") < F.col("r.item_id")) & ratio_possible(F.col("l.text"), F.col("r.text"), 0.4)
+    pairs = matching.blocked_pairs(items, items, near, "text", 0.4).select("l.item_id", F.col("r.item_id").alias("other_id"), F.col("l.text").alias("x"), F.col("r.text").alias("y"))
     parts = 2 * spark.sparkContext.defaultParallelism
-    return pairs.repartition(parts, "item_id", "other_id").select("item_id", "other_id", ratio_udf("x", "y").alias("score")).where("score >= 0.6")
+    return pairs.repartition(parts, "item_id", "other_id").select("item_id", "other_id", ratio_udf("x", "y").alias("score")).where("score >= 0.4")
 
 
 _NAMES = """(VALUES (1, 'f,g', 'f,h', 2, 1, 'if,for', 'if,if'), (2, '', '', 0, 0, '', ''), (3, 'f', '', 1, 0, 'while', ''), (4, 'a,b,c', 'c,b,a', 3, 3, 'if,for,while', 'for')) AS t(id, l, r, c1, c2, k1, k2)"""
@@ -526,6 +602,46 @@ def class_similarity(spark, sf_dir):
     return _lists(spark).select("id", jslogic.class_similarity(F.col("c1"), F.col("c2")).alias("similarity"))
 
 
+_CODE = """(VALUES (1, 'function f(a) { g(1); } function h(b) { if (b) k(2); } class A { }', 'function f(a) { g(1); } function m(b) { while (b) k(2); } class B { }'),
+  (2, '', ''), (3, 'function f() { }', ''), (4, 'for (;;) { } function p() { q(); r(); }', 'function p() { q(); s(); } if (1) { } for (;;) { } class C { } class D { }'),
+  (5, '', 'function z() { y(); } function x() { }')) AS t(id, a, b)"""
+_CODE_SQL = f"""c AS (SELECT id, a, b FROM {_CODE}), p AS (SELECT id, {', '.join(f'''
+  regexp_extract_all({x}, 'function\\s+(\\w+)\\s*[(]', 1) AS {x}_names, len(regexp_extract_all({x}, 'class\\s+\\w+')) AS {x}_classes, regexp_extract_all({x}, '\\b(if|for|while)\\s*[(]', 1) AS {x}_flow,
+  list_distinct(flatten(list_transform(regexp_extract_all({x}, 'function\\s+\\w+\\s*[(][^)]*[)]\\s*[{{{{][^}}}}]*[}}}}]'), lambda f: list_transform(list_filter(regexp_extract_all(substr(f, strpos(f, '{{')), '(\\w+)[(]', 1),
+    lambda n: n NOT IN ('if', 'for', 'while')), lambda n: regexp_extract(f, 'function\\s+(\\w+)', 1) || '>' || n)))) AS {x}_edges''' for x in 'ab')} FROM c),
+s AS (SELECT *, CASE WHEN len(a_names) = 0 AND len(b_names) = 0 THEN 1.0::DOUBLE WHEN len(a_names) = 0 OR len(b_names) = 0 THEN 0.0::DOUBLE
+    ELSE list_sum(list_transform(a_names, lambda n: CASE WHEN list_contains(b_names, n) THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END)) / greatest(len(a_names), len(b_names)) END AS functions,
+  CASE WHEN a_classes = 0 AND b_classes = 0 THEN 1.0::DOUBLE WHEN a_classes = 0 OR b_classes = 0 THEN 0.0::DOUBLE ELSE a_classes::DOUBLE / greatest(a_classes, b_classes) END AS classes,
+  CASE WHEN len(a_flow) = 0 AND len(b_flow) = 0 THEN 1.0::DOUBLE WHEN len(a_flow) = 0 OR len(b_flow) = 0 THEN 0.0::DOUBLE
+    ELSE len(list_filter(a_flow, lambda n: list_contains(b_flow, n)))::DOUBLE / greatest(len(a_flow), len(b_flow)) END AS control_flow,
+  CASE WHEN len(a_edges) = 0 AND len(b_edges) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a_edges, b_edges))::DOUBLE / len(list_distinct(a_edges || b_edges)) END AS calls,
+  len(list_filter(a_names, lambda n: list_contains(b_names, n))) AS hits,
+  len(list_distinct(list_transform(a_names, lambda n: CASE WHEN list_contains(b_names, n) THEN list_position(b_names, n) ELSE 1 END))) AS picked FROM p),
+n AS (SELECT *, CASE WHEN len(b_names) > 0 THEN hits ELSE 0 END AS matching, CASE WHEN len(b_names) > 0 THEN len(a_names) - hits ELSE 0 END AS different,
+  CASE WHEN len(b_names) > 0 THEN 0 ELSE len(a_names) END AS missing, CASE WHEN len(b_names) > 0 THEN len(b_names) - picked ELSE 0 END AS extra FROM s)"""
+
+
+def _scripts(spark):
+    return jslogic.compare_scripts(fixture(spark, _CODE).withColumn("file_type", F.lit("js")), "id", "a", "b", as_coded=True)
+
+
+@query(f"""WITH {_CODE_SQL} SELECT id, round(functions, 9) AS functions, round(classes, 9) AS classes, round(control_flow, 9) AS control_flow, round(calls, 9) AS calls,
+  round(0.35::DOUBLE * functions + 0.15::DOUBLE + 0.15::DOUBLE * classes + 0.15::DOUBLE * control_flow + 0.2::DOUBLE * calls, 9) AS similarity,
+  CAST(matching AS INTEGER) AS matching, CAST(different AS INTEGER) AS different, CAST(missing AS INTEGER) AS missing, CAST(extra AS INTEGER) AS extra FROM n""")
+def script_scores(spark, sf_dir):
+    return _scripts(spark).select("id", *(F.round(c, 9).alias(c) for c in ("functions", "classes", "control_flow", "calls", "similarity")), "counts.*")
+
+
+@query(f"""WITH {_CODE_SQL} SELECT id % 2 AS part, CAST(sum(matching) AS BIGINT) AS matching, CAST(sum(different) AS BIGINT) AS different, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(extra) AS BIGINT) AS extra,
+  CAST(sum(matching + different + missing + extra) AS BIGINT) AS total, round(avg(functions), 9) AS functions, round(avg(classes), 9) AS classes, round(avg(control_flow), 9) AS control_flow, round(avg(calls), 9) AS calls
+FROM n GROUP BY 1""")
+def script_totals(spark, sf_dir):
+    rows = _scripts(spark).select((F.col("id") % 2).alias("part"), "functions", "classes", "control_flow", "calls", "counts.*")
+    means = scores.metric_means(rows, ["part"], ("functions", "classes", "control_flow", "calls"))
+    means = means.select("part", *(F.round(c, 9).alias(c) for c in means.columns if c != "part"))
+    return scores.column_totals(rows, ["part"]).join(means, "part")
+
+
 _PARTS = """(VALUES (1, 1.0, 1.0, 1.0, 1.0, 1.0), (2, 0.5, 0.25, 0.0, 1.0, 0.75), (3, 0.0, 0.0, 0.0, 0.0, 0.0)) AS t(id, f, i, c, k, g)"""
 
 
