@@ -8,9 +8,10 @@ import zipfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from twinweave.functions.similarity import ratio
+from twinweave.functions.similarity import length_band, ratio
 from twinweave.operators import classes, jsonconfig, matching, scores
 from twinweave.plans import queries, report
 from twinweave.sources import files
@@ -167,6 +168,50 @@ def test_directory_and_stream(spark, archives, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == n == 7
 
 
+def test_damaged_and_large_members(spark, tmp_path):
+    """A damaged member beside good ones, and one of 70 MB, which is read whole."""
+    good = archive({"a.html": "<p>a</p>", "b.css": ".b{c:d}" * 200, "c.js": "f()"})
+    with zipfile.ZipFile(io.BytesIO(good)) as z:
+        at = next(i for i in z.infolist() if i.filename == "b.css").header_offset
+    broken = bytearray(good)
+    broken[at + 40 : at + 50] = b"\xff" * 10
+    assert dict(files.members(bytes(broken))) == {"a.html": b"<p>a</p>", "b.css": None, "c.js": b"f()"}
+    (tmp_path / "x.zip").write_bytes(bytes(broken))
+    with zipfile.ZipFile(tmp_path / "y.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("large.css", "/* " + "x" * (70 << 20) + " */ .a{b:c}")
+        z.writestr("b.css", ".b{c:d}")
+        z.writestr("a.html", "<p>a</p>")
+    rows = {(r.project_id, r.path): r.n for r in files.read_archives(spark, str(tmp_path)).selectExpr("project_id", "path", "length(content) AS n").collect()}
+    assert rows["y", "large.css"] > 70 << 20 and rows["x", "b.css"] is None and len(rows) == 6
+    everything = files.read_archives(spark, str(tmp_path)).where("path <> 'large.css'")
+    pairs = spark.createDataFrame([(1, "x", "y")], "pair_id int, original_id string, modified_id string")
+    c = report.compare_projects(*files.sides(everything, pairs))
+    assert {r.original for r in c.pairs.collect()} == {"a.html"}  # what cannot be read is like nothing
+    assert {(r.side, r.path) for r in c.unmatched.collect()} == {("original", "b.css"), ("original", "c.js"), ("modified", "b.css")}
+
+
+def test_deep_json(spark):
+    def nested(depth, leaf):
+        return "{" + '"k":{' * depth + f'"a":1,"b":{leaf}' + "}" * (depth + 1)
+
+    rows = spark.createDataFrame([(d, f'{{"compilerOptions":{nested(d, 1)}}}', f'{{"compilerOptions":{nested(d, 2)}}}') for d in (0, 5, 12, 20)], "pair_id int, original string, modified string")
+    assert {r.pair_id: r.tsconfig_similarity for r in jsonconfig.tsconfig_similarity(rows).collect()} == dict.fromkeys((0, 5, 12, 20), 0.5)
+
+
+def test_variables_are_content():
+    assert matching._script_score("var a = 1; var b = 2;", "var a = 1; var b = 2;") == 1.0
+    assert matching._script_score("let a = 1;", "const b = 2;") > 0 and matching._script_score("f(); g();", "f(); g();") == 0.0
+
+
+def test_length_bands(spark):
+    """Every pair whose ratio may reach the threshold is in neighbouring bands."""
+    texts = spark.createDataFrame([("x" * n,) for n in range(0, 400)], "t string")
+    for threshold in (0.3, 0.6, 0.75):
+        rows = texts.select(F.length("t").alias("n"), length_band(F.col("t"), threshold).alias("band")).collect()
+        band = {r.n: r.band for r in rows}
+        assert all(abs(band[a] - band[b]) <= 1 for a in band for b in band if 2 * min(a, b) >= threshold * (a + b) and (a and b or a == b))
+
+
 def test_file_pair(spark):
     columns = "pair_id int, html1 string, html2 string, css1 string, css2 string, jsx1 string, jsx2 string, js1 string, js2 string"
     df = spark.createDataFrame([(1, "<p>a</p>", "<p>a</p>", ".a{b:c}", ".a{b:d}", None, None, "f(", "f()"), (2, *[None] * 8)], columns)
