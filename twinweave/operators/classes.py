@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import html_nodes
 from ..functions.similarity import jaccard, multiset_jaccard
+from ..storage import written
 
 _MARKUP = r'(?:class|className)\s*=\s*"([^"]+)"'
 #: The theme keys that count as extensions.
@@ -58,7 +59,16 @@ def class_counts(files: DataFrame, keys: list[str], content: str = "content", fi
 def compare_counts(left: DataFrame, right: DataFrame, keys: list[str], item: str = "class") -> DataFrame:
     """One row per ``keys`` that has an item on either side: set, frequency and
     hybrid similarity, shared and own items, and the sum of maxima as weight."""
-    both = merged_counts(left, right, keys, item)
+    return _compared(merged_counts(left, right, keys, item), keys)
+
+
+def compare_with_impacts(left: DataFrame, right: DataFrame, keys: list[str], item: str = "class") -> DataFrame:
+    """:func:`compare_counts` with :func:`impact_lists`; counts are merged once."""
+    both = written(merged_counts(left, right, keys, item), "merged")
+    return _compared(both, keys).join(_impacts(both, keys, item), keys, "left")
+
+
+def _compared(both: DataFrame, keys: list[str]) -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(1.0)).cast("double")
     grouped = both.groupBy(*keys).agg(
         F.sum(F.least("a", "b")).alias("low"), F.sum(F.greatest("a", "b")).alias("high"),
@@ -98,12 +108,20 @@ def merged_counts(left: DataFrame, right: DataFrame, keys: list[str], item: str
 
 def change_impact(left: DataFrame, right: DataFrame, keys: list[str], item: str = "class") -> DataFrame:
     """Items whose counts differ, with the difference."""
-    return merged_counts(left, right, keys, item).withColumn("count_diff", F.abs(F.col("a") - F.col("b"))).where("count_diff > 0")
+    return _changes(merged_counts(left, right, keys, item))
+
+
+def _changes(both: DataFrame) -> DataFrame:
+    return both.withColumn("count_diff", F.abs(F.col("a") - F.col("b"))).where("count_diff > 0")
 
 
 def impact_lists(left: DataFrame, right: DataFrame, keys: list[str], item: str = "class") -> DataFrame:
     """The changes of each ``keys`` as one list, greatest first, equal ones by name."""
-    rows = change_impact(left, right, keys, item)
+    return _impacts(merged_counts(left, right, keys, item), keys, item)
+
+
+def _impacts(both: DataFrame, keys: list[str], item: str) -> DataFrame:
+    rows = _changes(both)
     packed = F.sort_array(F.collect_list(F.struct((-F.col("count_diff")).alias("minus"), F.col(item).alias("class"), F.col("a").alias("original"), F.col("b").alias("modified"))))
     return rows.groupBy(*keys).agg(F.transform(packed, lambda x: F.struct(x["class"], x["original"], x["modified"], (-x["minus"]).alias("count_diff"))).alias("changes"))
 

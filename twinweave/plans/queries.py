@@ -93,7 +93,7 @@ SELECT page_id % 7 AS pair_id, avg(hybrid_similarity) AS mean_hybrid, avg(set_si
 FROM sims LEFT JOIN soft USING (page_id) GROUP BY 1""")
 def similarity_stats(spark, sf_dir):
     sides = neighbours(tag_counts(spark, sf_dir))
-    rows = classes.compare_counts(*sides, ["page_id"], "tag").join(classes.impact_lists(*sides, ["page_id"], "tag"), "page_id", "left")
+    rows = classes.compare_with_impacts(*sides, ["page_id"], "tag")
     return scores.similarity_stats(rows.withColumn("pair_id", F.col("page_id") % 7), ["pair_id"])
 
 

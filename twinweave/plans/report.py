@@ -89,7 +89,7 @@ def compare_projects(left: DataFrame, right: DataFrame, as_coded: bool = False,
 
     count = lambda c: classes.class_counts(joined.select("pair_key", "file_type", F.col(c).alias("content")), ["pair_key"])
     sides = [keep(count(c)) for c in ("original_content", "modified_content")]
-    hybrids = classes.compare_counts(*sides, ["pair_key"]).join(classes.impact_lists(*sides, ["pair_key"]), "pair_key", "left")
+    hybrids = classes.compare_with_impacts(*sides, ["pair_key"])
     hybrids = keep(hybrids.select("pair_key.*", "*").drop("pair_key"))
 
     configs = keep(jsonconfig.config_scores(*(all_files or (left, right))))
