@@ -153,7 +153,7 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 4)
     rows = [(i, f"http://h{i % 3}.Example.com:80/a/{i % 7}?q=1#f", ["x" * 200, "short", None, "é\r\n\r\n" * 40, f"own {i}" * 30][i % 5]) for i in range(60)]
     rows += [(100, None, "x" * 200), (101, "not a url \r\n é", "y" * 99), (101, "not a url \r\n é", "y" * 99), (None, "http://a/", "x" * 200)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "key", "file", 1, "payload") for r in rows], "page_id long, url string, html string, key string, file string, offset long, payload string")
     got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_and_read(spark, pages).collect())
     first = {}
     for i, _, h in rows:

@@ -5,8 +5,10 @@ published pattern.  Texts whose characters all lie in a range where Python's
 ``re`` agrees with that pattern's Unicode classes take a short pattern; others
 take the pattern itself.
 
-Defined cases: null is the empty text; an empty text has no tokens; every input
-row gives one row; columns not named are ignored.
+Defined cases: null is the empty text; an empty text has no tokens; a text of any
+length is counted whole, piece by piece, and a piece in time n log n; every input
+row gives one row, repeated ones too; an empty table gives an empty table;
+columns not named are ignored; ids may be of any type.
 """
 
 from __future__ import annotations

@@ -35,7 +35,7 @@ components link with nothing; vectors of different lengths never link; vectors
 with a null id link and count as any other, but name no component (one without
 any id is null); repeated rows, and rows that share an id but not the vector,
 are vectors of their own; an empty table gives an empty table; columns not named
-are ignored.
+are ignored.  Ids must be numbers.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ link if and only if they share such a word or are one bit apart).
 
 Defined cases: null and white-space texts have fingerprint 0; rows with a null
 doc_id count as texts but never name a component; repeated rows are returned as
-often; an empty table gives an empty table; columns not named are ignored.
+often; a text of any length is one fingerprint; an empty table gives an empty
+table; columns not named are ignored.  Ids must be numbers.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ by ranges.
 
 Defined cases: null html is an empty payload; a null url is the empty url; rows
 with a null page_id never are the smallest id; payloads under ``MIN_DEDUP``
-bytes are never revisits; repeated rows are records of their own; an empty
-table gives empty archives and an empty index; columns not named are ignored.
+bytes are never revisits; repeated rows are records of their own; a payload of
+any length is one record; an empty table gives empty archives and an empty
+index; columns not named are ignored.  Ids must be numbers.
 """
 
 from __future__ import annotations
