@@ -396,6 +396,34 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_recall(spark):
+    """Altered and cut-up templates of all lengths at a containment of 0.8 or more: how many the bands retrieve."""
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    templates = {f"t{k}": " ".join(say(5 + 2 * k)) for k in range(60)}
+    texts = []
+    for t in templates.values():
+        words = t.split()
+        for _ in range(4):  # single words changed
+            w = list(words)
+            for _ in range(max(1, len(w) // 40)):
+                w[rng.choice([0, -1, rng.randrange(len(w))])] = "changed"
+            texts.append(" ".join(say(30) + w + say(30)))
+        pieces = [words[i : i + 5] for i in range(len(words) - 4)]  # every shingle for itself
+        rng.shuffle(pieces)
+        texts.append(" ".join(x for p in pieces for x in (*p, *say(3))))
+    got = {(r.doc_id, r.license_id) for r in licenses.license_scan(docs_frame(spark, texts), templates=templates).collect()}
+
+    def sh(t):
+        w = alnum_words(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = {(i, n) for i, t in enumerate(texts) for n, x in templates.items() if len(sh(t) & sh(x)) >= 0.8 * len(sh(x))}
+    assert got <= want and len(want) > 150
+    print("recall", len(got) / len(want))
+    assert len(got) >= 0.9 * len(want)
+
+
 # --- 8 lattice --------------------------------------------------------------------
 
 def test_lattice(spark, sf, monkeypatch):

@@ -13,9 +13,8 @@ template's length:
 
 * under ``2 * WINDOW`` shingles: ``SHORT`` shingles, at every place of both.  An
   unaltered run of two shingles is found with certainty, because equal windows
-  have equal minima.  So is a template of one shingle, because each leading bit
-  is set in some masks and not in others, which makes the shingle the first of any two
-  in some order.  At 0.8 a template of two to four shingles has them all, and
+  have equal minima.  So is a template of one shingle, because masks come in
+  opposite pairs, and any shingle is the first of two in one order of a pair.  At 0.8 a template of two to four shingles has them all, and
   one of five or more has two in a row unless the text was cut up on purpose; a
   shingle left alone still meets with probability 1/3 an order, so that eight
   orders miss it with (2/3)^8, under 0.04, each.
@@ -53,8 +52,9 @@ BANDS = 8
 SIEVE = 20
 #: Rows of the template table that are broadcast; a larger one is joined as any table.
 BROADCAST_ROWS = 500_000
-#: Masks of the bands' hash orders (multiples of the 64-bit golden ratio).
-MASKS = [((k * 0x9E3779B97F4A7C15) & (2**64 - 1)) - 2**63 for k in range(1, BANDS + 1)]
+#: Masks of the bands' hash orders, in opposite pairs: the leading three bits take all
+#: eight values, the others are those of multiples of the golden ratio.
+MASKS = [x for k in range(BANDS // 2) for m in [(k << 61 | (k + 1) * 0x9E3779B97F4A7C15 % 2**61)] for x in (m, ~m)]
 
 # Public license notices, by name.
 TEMPLATES = {
