@@ -272,9 +272,12 @@ def test_jsx_and_config_expressions(spark):
     assert tuple(one) == (1.0, pytest.approx(0.6 / 3 + 0.4), "class", "onclick", "background-color", "[dynamic]", 0.5)
 
 
-def test_command_line(archives, capsys):
+def test_command_line(archives, capsys, tmp_path):
     from twinweave.__main__ import main
 
     assert main(["zip", "a.txt", "b.zip"]) == 2 and main(["files"]) == 2
+    (tmp_path / "c.zip").write_bytes(archive({"i.html": '<p class="b a">\n<b class="a">'}))
+    assert main(["classes", str(tmp_path / "c.zip")]) == 0
+    assert [x.split() for x in capsys.readouterr().out.splitlines()] == [["i.html"], ["a", "2", "1", "2"], ["b", "1", "1"], []]
     assert main(["zip", str(archives / "one.zip"), str(archives / "two.zip")]) == 0
     assert '"overall_similarity"' in capsys.readouterr().out

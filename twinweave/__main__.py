@@ -2,6 +2,7 @@
 
     python -m twinweave zip ORIGINAL.zip MODIFIED.zip [--out FOLDER] [--as-coded]
     python -m twinweave files [--html A B] [--css A B] [--jsx A B] [--js A B]
+    python -m twinweave classes ARCHIVE.zip
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ def main(args: list[str] | None = None) -> int:
     f = commands.add_parser("files")
     for kind in KINDS:
         f.add_argument(f"--{kind}", nargs=2)
+    c = commands.add_parser("classes")
+    c.add_argument("archive")
     a = parser.parse_args(args)
     if a.command == "zip" and not (a.original.endswith(".zip") and a.modified.endswith(".zip")):
         print("both files must be .zip archives", file=sys.stderr)
@@ -48,6 +51,12 @@ def main(args: list[str] | None = None) -> int:
             report.write_reports(reports, a.out)
         print(reports.first().report)
         return 0
+    if a.command == "classes":
+        raw = spark.read.format("binaryFile").load(a.archive).select(F.lit("archive").alias("project_id"), "content")
+        rows = files.typed(files.from_archives(raw)).where("file_type in ('html', 'jsx')")
+        for r in report.class_text(rows, ["path"]).orderBy("path").toLocalIterator():
+            print(f"{r.path}\n{r.text}\n")
+        return 0
     texts = {f"{k}{n + 1}": open(getattr(a, k)[n], encoding="utf-8", errors="replace").read() if getattr(a, k) else None for k in KINDS for n in (0, 1)}
     row = spark.createDataFrame([(1, *texts.values())], "pair_id int, " + ", ".join(f"{c} string" for c in texts))
     print(report.file_pair_report(row).select(F.to_json(F.struct("*"))).first()[0])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.css import css_declarations, normalize_keyframe_value, normalize_value, parse_css, resolve_vars
 from ..functions.similarity import py_round
+from ..storage import written
 
 MATCHING, PARTIAL = 0.9, 0.3
 
@@ -97,6 +98,21 @@ def compare_stylesheets(pairs: DataFrame, key: str = "pair_key", left: str = "or
         key, F.coalesce("similarity", F.lit(1.0)).alias("css_similarity"), *(F.coalesce(c, zero).alias(c) for c in ("matching", "different", "missing", "extra")))
 
 
+def stylesheet_details(pairs: DataFrame, key: str = "pair_key", left: str = "original_content", right: str = "modified_content") -> DataFrame:
+    """``key, media, supports, keyframes, selectors``: conditions with their state and
+    rule counts, counts of keyframes, and the properties of shared selectors;
+    empty lists and nulls where a pair has none."""
+    sides = [written(declaration_table(pairs.select(key, F.col(c).alias("content")), key), "declarations") for c in (left, right)]
+    out = pairs.select(key)
+    for scope in ("media", "supports"):
+        entry = F.struct(F.col("scope_key").alias("condition"), "state", "matching", "different", "missing", "extra", "similarity")
+        out = out.join(condition_diff(*sides, [key], scope).groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias(scope)), key, "left")
+    frames = keyframes_diff(*sides, [key])
+    out = out.join(frames.select(key, F.struct(*(c for c in frames.columns if c != key)).alias("keyframes")), key, "left")
+    entry = F.struct(F.col("sel").alias("selector"), "matching_props", "different_props", "missing_props", "extra_props")
+    return out.join(selector_details(*sides, [key]).groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("selectors")), key, "left")
+
+
 def summary_text(matching, different, missing, extra):
     return F.format_string("%d matching, %d different, %d missing, %d extra selectors", matching, different, missing, extra)
 

@@ -31,6 +31,7 @@ class Comparison:
     pairs: DataFrame
     elements: DataFrame
     selectors: DataFrame
+    sheets: DataFrame
     scripts: DataFrame
     hybrids: DataFrame
     configs: DataFrame
@@ -83,6 +84,7 @@ def compare_projects(left: DataFrame, right: DataFrame, as_coded: bool = False,
     elements = keep(tree_comparison(joined.where("file_type = 'html'")))
     html = tree_scores(elements).select("pair_key", "similarity")
     sheets = keep(css.compare_stylesheets(joined.where("file_type = 'css'")))
+    details = keep(css.stylesheet_details(joined.where("file_type = 'css'")))
     scripts = keep(jslogic.compare_scripts(joined.where("file_type in ('js', 'jsx')"), as_coded=as_coded))
     found = html.unionByName(sheets.select("pair_key", F.col("css_similarity").alias("similarity"))).unionByName(scripts.select("pair_key", "similarity"))
     pairs = keep(joined.drop("original_content", "modified_content").join(found, "pair_key"))
@@ -95,6 +97,7 @@ def compare_projects(left: DataFrame, right: DataFrame, as_coded: bool = False,
     configs = keep(jsonconfig.config_scores(*(all_files or (left, right))))
     return Comparison(
         matches, unmatched, pairs, elements.select("pair_key.*", "*").drop("pair_key"), sheets.select("pair_key.*", "*").drop("pair_key"),
+        details.select("pair_key.*", "*").drop("pair_key"),
         scripts.select("pair_key.*", "*").drop("pair_key"), hybrids, configs, theme, scores.type_scores(pairs, unmatched),
         scores.overall_scores(pairs, unmatched, hybrids, None if as_coded else configs))
 
@@ -111,8 +114,12 @@ def project_report(c: Comparison) -> DataFrame:
     summary = [
         scores.element_totals(c.elements, ["pair_id"]), scores.column_totals(c.selectors, ["pair_id"]),
         scores.column_totals(c.scripts.select("pair_id", "counts.*"), ["pair_id"])]
+    sheets = c.sheets.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(
+        "original", "modified", "media", "supports", "keyframes", "selectors"))).alias("stylesheets"))
+    metrics = scores.metric_means(c.scripts, ["pair_id"], tuple(jslogic.WEIGHTS))
+    metrics = metrics.select("pair_id", F.struct(*jslogic.WEIGHTS).alias("script_metrics"))
     out = c.overall
-    for t in (types, matched, missing, stats, c.configs):
+    for t in (types, matched, missing, stats, sheets, metrics, c.configs):
         out = out.join(t, "pair_id", "left")
     for name, t in zip(("elements", "selectors", "functions"), summary):
         out = out.join(t.select("pair_id", F.struct(*(x for x in t.columns if x != "pair_id")).alias(name)), "pair_id", "left")
@@ -120,7 +127,7 @@ def project_report(c: Comparison) -> DataFrame:
     out = out.join(theme, "pair_id", "left")
     return out.select("pair_id", F.to_json(F.struct(
         round3("overall_similarity").alias("overall_similarity"), verdict(F.col("overall_similarity")).alias("prediction"), "files", "types", "matched_files",
-        "unmatched_files", "classes", F.coalesce("theme_similarity", F.lit(0.0)).alias("config_similarity"), "elements", "selectors", "functions",
+        "unmatched_files", "classes", F.coalesce("theme_similarity", F.lit(0.0)).alias("config_similarity"), "elements", "selectors", "stylesheets", "functions", "script_metrics",
         F.struct("package_similarity", "tsconfig_similarity").alias("json_similarity"))).alias("report"))
 
 
@@ -142,6 +149,13 @@ def summary_text(**counts: Column) -> Column:
     return F.concat(F.concat_ws(", ", *shown), F.lit(" of "), total.cast("string"))
 
 
+def class_text(files: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, text``: the classes of each markup file as lines of name, count and line numbers, for printing."""
+    rows = classes.class_lines(files, keys)
+    line = F.format_string("%-32s %6d  %s", F.col("class"), F.col("n"), F.array_join(F.col("lines").cast("array<string>"), " "))
+    return rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+
+
 def file_pair_report(pair: DataFrame) -> DataFrame:
     """One row per ``pair_id`` for single files: columns html1, html2, css1, css2,
     jsx1, jsx2, js1, js2, each null where not given."""
