@@ -46,6 +46,17 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def made() -> int:
+    """How many work folders were made so far."""
+    return len(_made)
+
+
+def release(start: int, end: int) -> None:
+    """Removes the work folders with these numbers, whose tables nothing reads any more."""
+    for n in range(start, end):
+        remove(*_made[n])
+
+
 def _sweep() -> None:
     for spark, path in _made:
         try:
