@@ -20,6 +20,7 @@ from twinweave.llm import decontaminate as _decontaminate
 from twinweave.llm import mixing, quality, simhash, tokenfile
 from twinweave.llm.common import written
 from twinweave.llm.queries import table, tokenizer_path
+from twinweave.storage import made, release
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -30,6 +31,12 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with numbers for column names, so that none can have the name of a result, and these names."""
+    names = [f"d{n}" for n in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def _kept(keyed: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is among keys, without the key."""
     return keyed.join(keys.select(key), key, "left_semi").drop(key)
@@ -37,10 +44,12 @@ def _kept(keyed: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier rejects go.  Each row is scored by its own text; of
-    equal texts all stay or all go; a null text is scored as the empty one."""
-    keyed, key = _keyed(docs)
-    scores = quality.quality_scores(keyed, table(spark, sf_dir, "labels"), keep=(key,))
-    return _kept(keyed, key, scores.where("predicted = 1"))
+    equal texts all stay or all go; a null text is scored as the empty one.  Rows
+    pass the scoring whole, so nothing is shuffled."""
+    numbered, names = _numbered(docs)
+    rows = numbered.select("*", F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"))
+    scores = quality.quality_scores(rows, table(spark, sf_dir, "labels"), keep=tuple(names))
+    return scores.where("predicted = 1").select(*names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +63,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; a text without words is not contaminated, and
-    equal rows all stay or all go.  Columns pass the operator under numbers, so
-    that none can have the name of a result."""
-    names = [f"d{n}" for n in range(len(docs.columns))]
+    equal rows all stay or all go."""
+    numbered, names = _numbered(docs)
     marked = _decontaminate.decontaminate(
-        docs.toDF(*names), table(spark, sf_dir, "benchmark"), keep=tuple(names), text=names[docs.columns.index("text")])
+        numbered, table(spark, sf_dir, "benchmark"), keep=tuple(names), text=names[docs.columns.index("text")])
     return marked.where("not contaminated").select(*names).toDF(*docs.columns)
 
 
@@ -95,7 +103,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on the way is removed when its rows are written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        begun = made()
         docs = written(stage(spark, docs, sf_dir), "stage")
+        release(begun, made() - 1)
     return STAGES[-1][1](spark, docs, sf_dir)
