@@ -16,6 +16,7 @@ def compare(a, b, parse=html.parse_fragment):
     return (sum(x[2] for x in e) / len(e) if e else 0.0, *(kinds.count(k) for k in ("match", "different", "missing", "extra")))
 
 
+# Fragments and results that the compared behaviour fixes.
 @pytest.mark.parametrize("a,b,want", [
     ("<div><span>Hi</span></div>", "<div><span>Hi</span></div>", (1.0, 2, 0, 0, 0)),
     ("<div><span>Hi</span></div>", "<div></div>", (0.5, 1, 0, 1, 0)),
@@ -60,6 +61,7 @@ def test_html_identity(text):
     assert s[0] == 1.0 and sum(s[2:]) == 0
 
 
+# Stylesheets and results that the compared behaviour fixes.
 @pytest.mark.parametrize("a,b,want", [
     (".foo { color: #fff; }", ".foo { color: #ffffff; }", 1.0), (".foo { color: #fff; } .bar { margin: 0; }", ".foo { color: #fff; }", 0.5),
     (".foo { color: #fff; margin: 0; }", ".foo { color: #fff; padding: 1rem; }", 0.33), ("", ".foo { }", 1.0), (".A{x:1}", ".a{x:1}", 1.0),

@@ -196,6 +196,7 @@ def normalize_keyframe_value(value: Column) -> Column:
 def specificity(selector: Column) -> Column:
     """100 ids + 10 (classes, attributes, pseudo-classes) + elements and
     pseudo-elements; ``::x`` counts for both kinds of pseudo."""
+    # The patterns of what counts.
     def count(pattern: str) -> Column:
         return F.regexp_count(selector, F.lit(pattern))
 

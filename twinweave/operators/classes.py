@@ -11,6 +11,7 @@ from ..functions.html import html_nodes
 from ..functions.similarity import jaccard, multiset_jaccard
 from ..storage import written
 
+# Fixed value: attributes that hold classes.
 _MARKUP = r'(?:class|className)\s*=\s*"([^"]+)"'
 #: The theme keys that count as extensions.
 THEME_KEYS = ("colors", "spacing", "fontSize", "borderRadius", "boxShadow", "fontFamily", "screens")

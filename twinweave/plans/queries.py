@@ -407,6 +407,7 @@ def metadata_score(spark, sf_dir):
     return rows.select("id", jsonconfig.metadata_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
+# Pairs of theme configurations whose comparison is known.
 _THEMES = """(VALUES (1, '{"theme":{"extend":{"colors":{"primary":1},"spacing":{"72":1},"fontSize":{"xxl":1}}}}', '{"theme":{"extend":{"colors":{"primary":1,"secondary":2},"fontSize":{"xxl":1},"borderRadius":{"xl":1}}}}'),
   (2, '{"theme":{"extend":{"colors":{},"spacing":{}}}}', '{"theme":{"extend":{"colors":{},"spacing":{}}}}'), (3, '{"theme":{"extend":{"colors":{}}}}', '{"theme":{"extend":{"spacing":{}}}}'),
   (4, '{"theme":{"extend":{"colors":{},"spacing":{},"fontSize":{}}}}', '{"theme":{"extend":{"colors":{}}}}'), (5, '{}', '{}'), (6, '{"theme":{"colors":{"a":1},"extend":{"colors":{"b":1}}}}', '{"theme":{"colors":{"a":2,"b":3}}}')) AS t(id, a, b)"""
@@ -448,6 +449,7 @@ def css_specificity(spark, sf_dir):
     return fixture(spark, _SELECTORS).select("s", css_functions.specificity(F.col("s")).alias("specificity"))
 
 
+# Pairs of stylesheets whose comparison is known.
 _SHEETS = """(VALUES (1, '.foo { color: #fff; }', '.foo { color: #ffffff; }'), (2, '.foo { color: #fff; } .bar { margin: 0; }', '.foo { color: #fff; }'),
   (3, '.foo { color: #fff; }', '.foo { color: #fff; } .bar { margin: 0; }'), (4, '.foo { color: #fff; margin: 0; }', '.foo { color: #fff; padding: 1rem; }'),
   (5, '', '.foo { }'), (6, '@media (min-width: 600px) { .foo { color: red; } }', '@media (min-width: 600px) { .foo { color: red; } }'),
