@@ -5,13 +5,11 @@ vocabulary needs; then, compressed, the table of documents (ids and starts) and
 the block offsets; then a tail that says where they are.  Any run of ids is
 read by its blocks alone.
 
-Texts are encoded where they lie, and the packed ids are written once with the
-document's id and a digest of its text.  These rows, half as large as the text,
-are range-partitioned and sorted by id and digest; so a doc_id with any number
-of rows is dealt to several tasks unless its texts are equal too.  A task writes
-the files of its range under names of their own, each of at most about
-``FILE_IDS`` ids, and returns one row for each file.  The starts of files are
-prefix sums over those rows.
+Documents are range-partitioned and sorted by id and a digest of the text; so a
+doc_id with any number of rows is dealt to several tasks unless its texts are
+equal too.  A task writes the files of its range under names of their own, each
+of at most about ``FILE_IDS`` ids, and returns one row for each file.  The starts
+of files are prefix sums over those rows.
 
 Defined cases: null text is empty (only the end id is written); null ids come
 first; rows of one id are kept, in order of their texts' digests (XXH64); a text
@@ -31,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, byte_symbols, is_plain, split_pieces
-from .common import MAX_PARTS, file_system, make_dirs, work_dir, written
+from .common import file_system, make_dirs, number_of_parts, work_dir, written
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
 FILE_IDS = 1 << 26
-#: Packed bytes of a range that one task sorts and writes.
-PART_BYTES = 12 << 20
 _TAIL = "<QQQQI8s"  # place and size of the tables, ids, documents, bits
 _MAGIC = b"TWTOKEN1"
 
@@ -205,44 +201,24 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def id_bits(tokenizer_path: str, end_id: int) -> int:
-    return bits_for(max(encoder(tokenizer_path).vocabulary, end_id + 1))
-
-
-def _encode(tokenizer_path: str, end_id: int):
-    """Rows ``k, h, text``: the number of ids with the end id, and the ids packed."""
-
+def _write(folder: str, tokenizer_path: str, end_id: int, file_ids: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-
-        e, bits = encoder(tokenizer_path), id_bits(tokenizer_path, end_id)
-        end = np.array([end_id], np.uint32)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [np.concatenate([e.ids(text or ""), end]) for text in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x, bits) for x in ids], pa.binary())], names=["k", "h", "n", "ids"])
-
-    return run
-
-
-def _write(folder: str, bits: int, file_ids: int):
-    def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
+        e = encoder(tokenizer_path)
+        bits, end = bits_for(max(e.vocabulary, end_id + 1)), np.array([end_id], np.uint32)
         store, path = file_system(folder)
         shard, name, writer, files = TaskContext.get().partitionId(), "", None, []
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for doc, n, data in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
                     if writer is None:
                         name = f"tokens-{uuid.uuid4().hex}.bin"
                         writer = Writer(store.open_output_stream(f"{path}/{name}", compression=None), bits)
-                    writer.add(doc, unpack(data, n, bits))
+                    writer.add(doc, np.concatenate([e.ids(text or ""), end]))
                     if writer.n_ids >= file_ids:
                         writer.close()
                         files.append((shard, len(files), name, writer.n_ids, len(writer.docs)))
@@ -260,17 +236,12 @@ def _write(folder: str, bits: int, file_ids: int):
 def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, key: str = "doc_id", text: str = "text",
                  end_id: int = END_ID, parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files; ``shard, nth, file, n_ids, n_docs`` of each, (shard, nth) in order of ids."""
-    spark = documents.sparkSession
     make_dirs(folder)
     t = F.col(text).cast("string")
     rows = documents.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), t.alias("t"))
-    coded = written(rows.mapInArrow(_encode(tokenizer_path, end_id), "k long, h long, n long, ids binary"), "ids")
-    bits = id_bits(tokenizer_path, end_id)
-    if parts is None:
-        total = (coded.agg(F.sum("n")).first()[0] or 0) * bits // 8
-        parts = min(MAX_PARTS, max(int(spark.sparkContext.defaultParallelism), -(-total // PART_BYTES), 1))
-    ordered = coded.repartitionByRange(parts, "k", "h").sortWithinPartitions("k", "h")
-    return written(ordered.mapInArrow(_write(folder, bits, file_ids), "shard long, nth long, file string, n_ids long, n_docs long"),
+    parts = parts or number_of_parts(documents.sparkSession, rows, "t")
+    ordered = rows.repartitionByRange(parts, "k", "h").sortWithinPartitions("k", "h")
+    return written(ordered.mapInArrow(_write(folder, tokenizer_path, end_id, file_ids), "shard long, nth long, file string, n_ids long, n_docs long"),
                    "shards", f"{folder}/shards")
 
 
