@@ -13,6 +13,8 @@ table; further columns are kept whatever their names.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,26 @@ from twinweave.llm.queries import table, tokenizer_path
 from twinweave.storage import made, release
 
 
+#: Work folders of the stages that were called; a stage's rows are written before the next is called.
+_used: list[tuple[int, int]] = []
+
+
+def _stage(function):
+    """A stage that first removes what the stages before it wrote on their way."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _used:
+            release(*_used.pop())
+        begun = made()
+        out = function(spark, docs, sf_dir)
+        if function.__name__ != "token_file":  # the files of the last stage are its result
+            _used.append((begun, made()))
+        return out
+
+    return run_stage
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows, written once with a key of their own under a name that no column has, and that name."""
     key = "row_key"
@@ -42,6 +64,7 @@ def _kept(keyed: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return keyed.join(keys.select(key), key, "left_semi").drop(key)
 
 
+@_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier rejects go.  Each row is scored by its own text; of
     equal texts all stay or all go; a null text is scored as the empty one.  Rows
@@ -52,6 +75,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scores.where("predicted = 1").select(*names).toDF(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: of the smallest id (null last) the
     smallest row key.  Rows that share an id but are unlike both stay; texts
@@ -61,6 +85,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(keyed, key, found.where(F.col(key) == F.col("component_row")))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; a text without words is not contaminated, and
     equal rows all stay or all go."""
@@ -70,6 +95,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return marked.where("not contaminated").select(*names).toDF(*docs.columns)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix has it; its quality weight is the score of the
     classifier, learned from the labelled rows of the whole ``documents`` table.
@@ -84,6 +110,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("whole.*")
 
 
+@_stage
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bit-packed token files in order of id (null first), read back: one row for
     each row, repeated ones in order of text; a null text has the end id alone."""
@@ -103,10 +130,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what a stage wrote on the way is removed when its rows are written."""
+    """All stages, each on the rows that the one before wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        begun = made()
         docs = written(stage(spark, docs, sf_dir), "stage")
-        release(begun, made() - 1)
     return STAGES[-1][1](spark, docs, sf_dir)
