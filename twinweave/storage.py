@@ -54,7 +54,8 @@ def made() -> int:
 def release(start: int, end: int) -> None:
     """Removes the work folders with these numbers, whose tables nothing reads any more."""
     for n in range(start, end):
-        remove(*_made[n])
+        if _made[n][0].sparkContext._jsc is not None:  # else that session was stopped
+            remove(*_made[n])
 
 
 def _sweep() -> None:
