@@ -25,21 +25,23 @@ from twinweave.llm.queries import table, tokenizer_path
 from twinweave.storage import made, release
 
 
-#: Work folders of the stages that were called; a stage's rows are written before the next is called.
-_used: list[tuple[int, int]] = []
+#: Work folders of the stages that were called, as far as their tables may still be read.
+_used: set[int] = set()
 
 
 def _stage(function):
-    """A stage that first removes what the stages before it wrote on their way."""
+    """A stage that first removes what the stages before it wrote on their way and nothing reads any more.
+
+    A stage's rows may be computed at any time, before or after other stages are
+    called: the tables that they are read from stay as long as a plan has them.
+    """
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _used:
-            release(*_used.pop())
+        _used.difference_update(release(_used))
         begun = made()
         out = function(spark, docs, sf_dir)
-        if function.__name__ != "token_file":  # the files of the last stage are its result
-            _used.append((begun, made()))
+        _used.update(range(begun, made()))
         return out
 
     return run_stage

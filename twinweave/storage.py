@@ -8,15 +8,22 @@ is absent and all work is in one process (tests) a local folder is made.
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_base: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
+#: Of work folders that are tables: a weak reference of the JVM to the listing of files that every plan over the table holds.
+_listings: dict[str, object] = {}
+#: py4j tells the JVM once a second which objects Python dropped.
+_DROP_S = 1.2
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -51,11 +58,22 @@ def made() -> int:
     return len(_made)
 
 
-def release(start: int, end: int) -> None:
-    """Removes the work folders with these numbers, whose tables nothing reads any more."""
-    for n in range(start, end):
-        if _made[n][0].sparkContext._jsc is not None:  # else that session was stopped
-            remove(*_made[n])
+def release(numbers: Iterable[int]) -> set[int]:
+    """Removes the tables among the work folders with these numbers that no plan
+    reads any more, neither a DataFrame that someone holds nor one made from it
+    nor a view or cache, and returns their numbers.  Folders that are no tables stay."""
+    tables = [n for n in numbers if _made[n][1] in _listings and _made[n][0].sparkContext._jsc is not None]  # else that session was stopped
+    if tables:
+        gc.collect()  # plans that only dropped DataFrames hold go first
+        time.sleep(_DROP_S)
+        for _ in range(2):  # what Spark itself cleans up after the first holds more
+            _made[tables[0]][0]._jvm.System.gc()
+            time.sleep(_DROP_S / 10)
+    unread = {n for n in tables if _listings[_made[n][1]].get() is None}
+    for n in unread:
+        remove(*_made[n])
+        del _listings[_made[n][1]]
+    return unread
 
 
 def _sweep() -> None:
@@ -72,4 +90,8 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    plan = table._jdf.queryExecution().analyzed()
+    if any(path == p for _, p in _made) and plan.nodeName().startswith("LogicalRelation"):
+        _listings[path] = spark._jvm.java.lang.ref.WeakReference(plan.relation().location())
+    return table
