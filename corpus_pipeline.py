@@ -72,8 +72,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     equal texts all stay or all go; a null text is scored as the empty one.  Rows
     pass the scoring whole, so nothing is shuffled."""
     numbered, names = _numbered(docs)
-    rows = numbered.select("*", F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"))
-    scores = quality.quality_scores(rows, table(spark, sf_dir, "labels"), keep=tuple(names))
+    rows = numbered.select("*", F.col(names[docs.columns.index("doc_id")]).alias("doc_id"))
+    scores = quality.quality_scores(rows, table(spark, sf_dir, "labels"), text=names[docs.columns.index("text")], keep=tuple(names))
     return scores.where("predicted = 1").select(*names).toDF(*docs.columns)
 
 

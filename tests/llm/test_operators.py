@@ -570,3 +570,20 @@ def test_mixing_awkward(spark):
 def test_query_runs(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_encoder_forgets_after_a_task(tmp_path, monkeypatch):
+    """A Python worker that waits for its next task holds no pieces of the last one."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: Task()))
+    texts = [f"text {i} of many" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array(texts)], names=["k", "h", "t"])
+    found = list(tokenfile._write(f"file://{tmp_path}", tokenizer_path(), 2, 1 << 20)(iter([batch])))
+    assert found[0].column(4).to_pylist() == [300]
+    assert not tokenfile.encoder(tokenizer_path()).cache and tokenfile.CACHE <= 100_000

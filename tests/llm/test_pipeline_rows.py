@@ -48,3 +48,21 @@ def test_mixture_counts_each_row(spark, sf):
     got = [tuple(r) for r in corpus_pipeline.mixture(spark, docs, sf).collect()]
     copies = [r.copies for r in corpus_pipeline.mixing.mix(docs).collect()]
     assert len(got) == sum(copies) and set(got) <= set(rows) and max(map(got.count, got)) <= 3
+
+
+def to_python(plan):
+    """How many columns each MapInArrow of a plan is sent."""
+    own = [plan.child().output().size()] if plan.nodeName() == "MapInArrow" else []
+    return own + [n for i in range(plan.children().size()) for n in to_python(plan.children().apply(i))]
+
+
+def test_text_travels_to_python_once(spark, sf):
+    rows = [(1, words("a"), "en", "s", 1), (2, None, "en", "s", 2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    scored = corpus_pipeline.quality_filter(spark, docs, sf)
+    assert to_python(scored._jdf.queryExecution().analyzed()) == [len(docs.columns) + 1]  # and the id
+    clean = corpus_pipeline.decontamination(spark, docs, sf)
+    assert to_python(clean._jdf.queryExecution().analyzed()) == [len(docs.columns)]
+    assert sorted(map(tuple, clean.collect())) == rows
+    kept = corpus_pipeline.quality.quality_scores(docs, docs.selectExpr("doc_id", "1 as quality"), keep=("n_chars", "text", "source"))
+    assert sorted((r.n_chars, r.text, r.source) for r in kept.where("score >= 0").collect()) == [(1, words("a"), "s"), (2, None, "s")]

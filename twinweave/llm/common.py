@@ -37,6 +37,19 @@ def ascii_lower(col):
     return F.translate(col, _UPPER, _LOWER)
 
 
+def give_back() -> None:
+    """Returns memory that this process freed to the system, where the C library can; a
+    Python worker waits for its next task with what it needs alone."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def file_system(uri: str):
     """(file system, path) for a URI of any store that pyarrow can reach."""
     from pyarrow import fs

@@ -31,6 +31,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import alnum_words, ascii_lower, written
 
@@ -133,8 +134,9 @@ def _arrow(columns: list, names: list, counts: list, runs: list, items: list):
         names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans"])
 
 
-def _scanned(bench, key: str, size: int, batches):
-    """Batches whose last column is text: (other columns, words, runs with spans, item names) of up to 1024 rows at once."""
+def _scanned(bench, key: str, size: int, batches, place: int | None = None):
+    """Batches whose last column is text: (other columns, words, runs with spans, item names) of up to 1024 rows
+    at once.  With a ``place`` that column is the text, and one of the others too."""
     items = bench.value
     auto, symbols = _kept(key, items, size)
     names = [i for i, _ in items]
@@ -142,19 +144,19 @@ def _scanned(bench, key: str, size: int, batches):
         for at in range(0, b.num_rows, 1024):
             part = b.slice(at, 1024)
             counts, all_runs, all_items = [], [], []
-            for text in part.column(part.num_columns - 1).to_pylist():
+            for text in part.column(part.num_columns - 1 if place is None else place).to_pylist():
                 n, runs, found = scan(text, auto, symbols)
                 counts.append(n)
                 all_runs.append(_spans(text, runs) if runs else [])
                 all_items.append(sorted({names[x] for x in found} - {None}))
-            yield part.columns[:-1], counts, all_runs, all_items
+            yield part.columns[:-1] if place is None else part.columns, counts, all_runs, all_items
 
 
-def _whole(bench, key: str, n_keep: int, size: int):
+def _whole(bench, key: str, n_keep: int, size: int, place: int | None):
     """Results of the rows, where all items are one block."""
 
     def run(batches):
-        for columns, counts, runs, items in _scanned(bench, key, size, batches):
+        for columns, counts, runs, items in _scanned(bench, key, size, batches, place):
             yield _arrow(columns, [f"k{i}" for i in range(n_keep)], counts, runs, items)
 
     return run
@@ -211,7 +213,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, .
         return spark.sparkContext.broadcast(sorted(((r.i, r.t) for r in rows.select("i", "t").collect()), key=str))
 
     if total <= block_nodes:
-        found = df.mapInArrow(_whole(shared(bench), uuid.uuid4().hex, len(keep), window), ", ".join([*keep_schema, _RESULTS]))
+        # a kept text travels to Python once
+        place = keep.index(text) if text in keep and documents.schema[text].dataType == StringType() else None
+        rows = df if place is None else df.drop("text")
+        found = rows.mapInArrow(_whole(shared(bench), uuid.uuid4().hex, len(keep), window, place), ", ".join([*keep_schema, _RESULTS]))
     else:
         # dealt by a hash, so twice as many blocks as needed if all were equally full
         bench, n_blocks = written(bench, "benchmark"), -(-2 * total // block_nodes)

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_LABELLED = 20_000
 BINS = 32
@@ -223,8 +224,9 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return fit(x, y)
 
 
-def _scored(model):
-    """Rows whose second column is text: the others, with the score in its place."""
+def _scored(model, n_keep: int, own: list[int]):
+    """Rows whose second column is text: the others, with the score in its place.  Of the ``n_keep`` kept
+    columns those with numbers in ``own`` are the text, which travels to Python once."""
 
     def run(batches):
         import pyarrow as pa
@@ -233,7 +235,9 @@ def _scored(model):
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 s = model.value.score(features(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), *part.columns[2:]], names=["k", "score", *part.schema.names[2:]])
+                others = iter(part.columns[2:])
+                kept = [part.column(1) if n in own else next(others) for n in range(n_keep)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), *kept], names=["k", "score", *(f"c{n}" for n in range(n_keep))])
 
     return run
 
@@ -245,9 +249,10 @@ def quality_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     if model is None:
         model = train(documents, labels, key, text, max_labelled=max_labelled)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    carried = [F.col(c).alias(f"c{n}") for n, c in enumerate(keep)]
+    own = [n for n, c in enumerate(keep) if c == text and documents.schema[c].dataType == StringType()]
+    carried = [F.col(c).alias(f"c{n}") for n, c in enumerate(keep) if n not in own]
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *carried)
     schema = ["k long", "score double", *(f"c{n} {documents.schema[c].dataType.simpleString()}" for n, c in enumerate(keep))]
-    out = rows.mapInArrow(_scored(shared), ", ".join(schema))
+    out = rows.mapInArrow(_scored(shared, len(keep), own), ", ".join(schema))
     return out.select(F.col("k").alias(key), F.coalesce(~learnable(F.col("k")), F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"c{n}").alias(c) for n, c in enumerate(keep)))

@@ -28,12 +28,14 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, byte_symbols, is_plain, split_pieces
-from .common import file_system, make_dirs, number_of_parts, work_dir, written
+from .bpe import byte_symbols, is_plain, split_pieces
+from .common import file_system, give_back, make_dirs, number_of_parts, work_dir, written
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
 FILE_IDS = 1 << 26
+#: Pieces remembered within a task; beyond it the memory starts anew.  More save no time: most of the others come once.
+CACHE = 100_000
 _TAIL = "<QQQQI8s"  # place and size of the tables, ids, documents, bits
 _MAGIC = b"TWTOKEN1"
 
@@ -226,6 +228,8 @@ def _write(folder: str, tokenizer_path: str, end_id: int, file_ids: int):
         if writer is not None:
             writer.close()
             files.append((shard, len(files), name, writer.n_ids, len(writer.docs)))
+        e.cache.clear()
+        give_back()
         if files:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files), kinds)], names=["shard", "nth", "file", "n_ids", "n_docs"])
