@@ -2,6 +2,7 @@
 on the smallest tables and on rows made to be awkward."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -586,4 +587,11 @@ def test_encoder_forgets_after_a_task(tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array(texts)], names=["k", "h", "t"])
     found = list(tokenfile._write(f"file://{tmp_path}", tokenizer_path(), 2, 1 << 20)(iter([batch])))
     assert found[0].column(4).to_pylist() == [300]
-    assert not tokenfile.encoder(tokenizer_path()).cache and tokenfile.CACHE <= 100_000
+    assert not tokenfile.encoder(tokenizer_path()).cache
+
+
+def test_token_tasks_write_token_files_alone(spark, tmp_path):
+    """Beside its token files a task writes nothing: the row of each goes to the driver."""
+    df = docs_frame(spark, ["one text", "another", "a third one"])
+    shards = tokenfile.write_tokens(df, f"file://{tmp_path}/t", tokenizer_path(), parts=2).collect()
+    assert sorted(os.listdir(f"{tmp_path}/t")) == sorted(r.file for r in shards) and sum(r.n_docs for r in shards) == df.count()

@@ -28,14 +28,12 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_symbols, is_plain, split_pieces
-from .common import file_system, give_back, make_dirs, number_of_parts, work_dir, written
+from .bpe import CACHE, byte_symbols, is_plain, split_pieces
+from .common import file_system, give_back, make_dirs, number_of_parts, work_dir
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
 FILE_IDS = 1 << 26
-#: Pieces remembered within a task; beyond it the memory starts anew.  More save no time: most of the others come once.
-CACHE = 100_000
 _TAIL = "<QQQQI8s"  # place and size of the tables, ids, documents, bits
 _MAGIC = b"TWTOKEN1"
 
@@ -228,7 +226,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int, file_ids: int):
         if writer is not None:
             writer.close()
             files.append((shard, len(files), name, writer.n_ids, len(writer.docs)))
-        e.cache.clear()
+        e.cache.clear()  # from task to task it saves next to nothing
         give_back()
         if files:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -245,8 +243,10 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, key: st
     rows = documents.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), t.alias("t"))
     parts = parts or number_of_parts(documents.sparkSession, rows, "t")
     ordered = rows.repartitionByRange(parts, "k", "h").sortWithinPartitions("k", "h")
-    return written(ordered.mapInArrow(_write(folder, tokenizer_path, end_id, file_ids), "shard long, nth long, file string, n_ids long, n_docs long"),
-                   "shards", f"{folder}/shards")
+    kinds = "shard long, nth long, file string, n_ids long, n_docs long"
+    # one row a file comes to the driver; as a table, each task would write one more file for it
+    shards = ordered.mapInArrow(_write(folder, tokenizer_path, end_id, file_ids), kinds).collect()
+    return documents.sparkSession.createDataFrame(shards, kinds)
 
 
 def _read(folder: str):
