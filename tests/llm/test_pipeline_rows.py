@@ -1,6 +1,8 @@
 """The pipeline decides by row: ids may be null or repeated."""
 
 import corpus_pipeline
+from twinweave.llm import components, quality, tokenfile
+from twinweave.llm.queries import tokenizer_path
 
 from .test_operators import slow_fingerprint
 
@@ -66,3 +68,37 @@ def test_text_travels_to_python_once(spark, sf):
     assert sorted(map(tuple, clean.collect())) == rows
     kept = corpus_pipeline.quality.quality_scores(docs, docs.selectExpr("doc_id", "1 as quality"), keep=("n_chars", "text", "source"))
     assert sorted((r.n_chars, r.text, r.source) for r in kept.where("score >= 0").collect()) == [(1, words("a"), "s"), (2, None, "s")]
+
+
+def in_a_row(plan):
+    """Whether a MapInArrow takes its rows straight from another, so that a task keeps two Python workers."""
+    below = plan
+    while plan.nodeName() == "MapInArrow" and below.children().size() == 1:
+        below = below.children().apply(0)
+        if below.nodeName() == "MapInArrow":
+            return True
+        if below.nodeName() not in ("Project", "Filter"):
+            break
+    return any(in_a_row(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_dedup_takes_one_worker_a_task(spark, sf, monkeypatch):
+    plans, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, *a: plans.append(df._jdf.queryExecution().analyzed()) or write(df, *a))
+    near = words("a") + " " + words("b")
+    docs = spark.createDataFrame([(n, f"{near} {t}", "en", "s", n) for n, t in enumerate(("", "x", "y", words("c")))], SCHEMA)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect())
+    fps = [slow_fingerprint(r.text) for r in docs.orderBy("doc_id").collect()]
+    assert plans and not any(map(in_a_row, plans))
+    assert got[0] == 0 and all(any((fps[n] ^ f).bit_count() <= 2 for f in fps[:n]) for n in set(range(4)) - set(got))
+
+
+def test_own_tables_take_no_workers(spark, sf, tmp_path, monkeypatch):
+    """``createDataFrame`` of a list runs an RDD of Python's; its workers would stay beside those of the stages."""
+    docs = spark.createDataFrame([(n, words(f"w{n}"), "en", "s", n) for n in range(9)], SCHEMA)
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as quality")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert quality.train(docs, labels).cuts
+    assert tokenfile.tokens_written_and_read(docs, tokenizer_path()).count() == 9
+    none = tokenfile.write_tokens(docs.limit(0), f"file://{tmp_path}/t", tokenizer_path())
+    assert none.columns == ["shard", "nth", "file", "n_ids", "n_docs"] and none.count() == 0

@@ -50,6 +50,18 @@ def give_back() -> None:
         trim(0)
 
 
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """The driver's rows as a table.  They go to the JVM as Arrow data: from a list, ``createDataFrame`` sends them
+    through a Python worker of every task slot, with a daemon beside those of the operators, which stay in memory."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds), StructType.fromDDL(schema))
+
+
 def file_system(uri: str):
     """(file system, path) for a URI of any store that pyarrow can reach."""
     from pyarrow import fs

@@ -10,6 +10,8 @@ they are; the other nodes' edges are dealt by node.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +65,25 @@ def _with_minimum(edges: DataFrame, minima: DataFrame, total: int) -> DataFrame:
     return edges.join(heavy, "u").select("u", "v", "m").union(dealt.select("u", "v", "m"))
 
 
-def components(edges: DataFrame, left: str, right: str) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str, link: Callable | None = None) -> DataFrame:
     """``node long, root long`` for every node that has an edge.
 
     ``root`` is the smallest node of the component.  Null ends and loops are
     ignored, repeated edges count once; an empty table gives an empty table.
+
+    With ``link``, a function from batches of ``edges`` to batches of their two
+    longs ``left`` and ``right`` (never null), a partition's edges are found and
+    contracted by one Python worker; a function after a function takes two.
     """
     spark = edges.sparkSession
-    e = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
-    e = e.where("u is not null and v is not null and u <> v")
-    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     path = work_dir(spark, "edges")
-    e = written(e.mapInArrow(_contract, "u long, v long"), "edges", path)
+    if link is None:
+        e = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
+        e = e.where("u is not null and v is not null and u <> v")
+        e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contract, "u long, v long")
+    else:
+        e = edges.mapInArrow(lambda batches: _contract(b.select([left, right]) for b in link(batches)), "u long, v long")
+    e = written(e, "edges", path)
     before, total = None, e.count()
     while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .common import small_table
+
 MAX_LABELLED = 20_000
 BINS = 32
 GRID = 8
@@ -215,7 +217,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
         votes.setdefault(r.k, []).append(r.y)
     if not votes:
         return Model()
-    ids = F.broadcast(spark.createDataFrame([(k,) for k in votes], "k long"))  # at most max_labelled ids
+    ids = F.broadcast(small_table(spark, [(k,) for k in votes], "k long"))  # at most max_labelled ids
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(ids, "k")
     measured = rows.mapInArrow(_measure, "k long, x array<double>").groupBy("k").agg(F.min("x").alias("x")).collect()
     measured.sort(key=lambda r: r.k)

@@ -268,8 +268,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         lows.append(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     classes = fps.groupBy("fp").agg(*lows)
     keys = classes.select("fp").mapInArrow(_keys, "key long, fp long")
-    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "u long, v long")
-    roots = components(links, "u", "v")
+    roots = components(keys.repartition("key").sortWithinPartitions("key"), "u", "v", _link)
     more = [] if row is None else ["first"]
     classes = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", *more, F.coalesce("root", "fp").alias("root"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"), *(F.min(c).alias("component_first") for c in more))

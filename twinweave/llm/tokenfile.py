@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, byte_symbols, is_plain, split_pieces
-from .common import file_system, give_back, make_dirs, number_of_parts, work_dir
+from .common import file_system, give_back, make_dirs, number_of_parts, small_table, work_dir
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
@@ -246,7 +246,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, key: st
     kinds = "shard long, nth long, file string, n_ids long, n_docs long"
     # one row a file comes to the driver; as a table, each task would write one more file for it
     shards = ordered.mapInArrow(_write(folder, tokenizer_path, end_id, file_ids), kinds).collect()
-    return documents.sparkSession.createDataFrame(shards, kinds)
+    return small_table(documents.sparkSession, shards, kinds)
 
 
 def _read(folder: str):
@@ -277,7 +277,7 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
     for r in rows:
         starts.append((r.file, total))
         total += r.n_ids
-    table = spark.createDataFrame(starts, "file string, base long")
+    table = small_table(spark, starts, "file string, base long")
     return table.repartition(max(1, len(starts)), "file").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
